@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, text_or_empty
+from .common import read_table, small_batches, text_or_empty
 
 LEAF = 512  # characters of a leaf at least
 
@@ -161,7 +161,7 @@ def count_tokens(docs: DataFrame, edits: Callable[[str], list[tuple[int, int, st
                     rows.append((doc, total, len(parts), len(changes), new, again))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(names))], names=names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, SCHEMA)
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, text_or_empty
+from .common import read_table, small_batches, text_or_empty
 
 LABELLED = 8000
 FEATURES = 1024
@@ -152,7 +152,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                 names=["doc_id", "expected_severity", "severity", "p_toxic", "toxic"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, expected_severity double, severity int, p_toxic double, toxic boolean")
 
 
@@ -163,7 +163,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that are toxic go, row by row."""
-    weights = fit(docs, read_table(spark, sf_dir, "labels"))
+    weights = fit(small_batches(docs), read_table(spark, sf_dir, "labels"))
     known, theta = frozenset(weights["weights"]), weights["theta"]
 
     @F.pandas_udf("boolean")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, read_table
+from .common import fresh_path, materialize, read_table, small_batches
 
 REVISIT_BYTES = 100  # equal payloads below this size are all written in full
 RANGE_GAP = 64 << 10  # a gap between two wanted records up to this is read through
@@ -97,7 +97,7 @@ def write_archive(pages: DataFrame, root: str, id_col: str = "page_id", url_col:
     the index only names those of the attempt that counts."""
     payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
     first = decide(pages, id_col, payload)
-    rows = pages.select(
+    rows = small_batches(pages).select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"),
         F.sha2(payload, 256).alias("digest"),
     )
