@@ -40,11 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, text_or_empty
+from .common import materialize, read_table, small_batches, text_or_empty
 
 SPAN, GRAM = 100, 32
 MAP_BITS = 27  # the broadcast map has 2^MAP_BITS / 8 bytes, whatever the input
-HOT_LEAST, HOT_GRAMS = 4_000, 1_000_000
+HOT_LEAST, HOT_GRAMS = 20_000, 1_000_000
+LARGE = 1000  # keys of one gram that are compared with all their strings at once
 RUN_BYTES = 24 << 20  # keys that a task holds before it sorts and writes a run
 CHUNK = 1 << 22  # starts handled at a time in a very long text
 LAST = (1 << 63) - 1  # stands for a null id
@@ -89,7 +90,7 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         at = (m & low).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         last = np.concatenate([first[1:] - 1, [len(at) - 1]])
-        found.append((at[first] + base, first + base, last + base, h[at[first]]))
+        found.append((at[first] + base, first + base, last + base, _mix(h[at[first]] ^ _P)))  # anew, as these are small hashes
     if not found:
         e = np.zeros(0, np.int64)
         return e, e, e, np.zeros(0, np.uint64)
@@ -257,11 +258,23 @@ def _spans_of(starts: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def _strings(key: bytes, right: int) -> Iterator[tuple[int, bytes]]:
-    """(offset of the anchor, string) of the strings that a key stands for."""
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _strings(key: bytes, right: int, only: int | None = None) -> Iterator[tuple[int, bytes]]:
+    """(offset of the anchor, string) of the strings that a key stands for, or of one offset."""
     text = key[8 + right :] + key[8 : 8 + right]  # bytes before the anchor, and from it on
     left = len(key) - 8 - right
-    for o in range(left, left - (len(text) - SPAN) - 1, -1):
+    least = left - (len(text) - SPAN)
+    for o in range(left, least - 1, -1) if only is None else [only] if least <= only <= left else []:
         yield o, text[left - o : left - o + SPAN]
 
 
@@ -284,18 +297,25 @@ def _runs(docs: DataFrame, bitmap: bytes, hot: np.ndarray, parts: int) -> DataFr
         def flush():
             nonlocal size
             order = sorted(range(len(keys)), key=lambda i: (keys[i], right[i], ids[i], places[i]))
-            rows = {x.split()[0]: [] for x in _PIECES.split(", ")}
+            names = [x.split()[0] for x in _PIECES.split(", ")]
+            kinds = (pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 5)
+            rows: list[tuple] = []
 
-            def add(kind, part=None, blob=None, doc=None, first=None, last=None, hi=None, lo=None):
-                for k, v in zip(rows, (kind, part, blob, doc, first, last, hi, lo)):
-                    rows[k].append(v)
+            def packed():
+                columns = zip(*rows) if rows else [[]] * len(names)
+                got = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+                rows.clear()
+                return got
 
             chosen: dict[int, list[int]] = {}
+            gone: dict[int, list[tuple[int, int]]] = {}
             before = None
             for i in order:
+                if len(rows) > 20_000:
+                    yield packed()
                 k, r = keys[i], right[i]
                 if before is not None and k == keys[before] and r == right[before]:
-                    add(_SPAN_ROW, doc=ids[i], first=places[i] - (len(k) - 8 - r), last=places[i] + r)
+                    gone.setdefault(ids[i], []).append((places[i] - (len(k) - 8 - r), places[i] + r))
                     continue
                 before = i
                 h = int.from_bytes(k[:8], "big")
@@ -303,16 +323,19 @@ def _runs(docs: DataFrame, bitmap: bytes, hot: np.ndarray, parts: int) -> DataFr
                 if at < len(heat) and int(heat[at]) == h:
                     for o, s in _strings(k, r):
                         d = hashlib.blake2b(s, digest_size=16).digest()
-                        add(_STRING_ROW, doc=ids[i], first=places[i] - o, hi=int.from_bytes(d[:8], "big", signed=True), lo=int.from_bytes(d[8:], "big", signed=True))
+                        hi, lo = int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+                        rows.append((_STRING_ROW, None, None, ids[i], places[i] - o, None, hi, lo))
                 else:
                     chosen.setdefault(h * parts >> 64, []).append(i)
+            for doc, spans in gone.items():
+                rows += [(_SPAN_ROW, None, None, doc, a, b, None, None) for a, b in _joined(spans)]
             for part, own in chosen.items():
-                add(_RUN_ROW, part=part, blob=encode_run([keys[i] for i in own], [right[i] for i in own], [ids[i] for i in own], [places[i] for i in own]))
+                blob = encode_run([keys[i] for i in own], [right[i] for i in own], [ids[i] for i in own], [places[i] for i in own])
+                rows.append((_RUN_ROW, part, blob, None, None, None, None, None))
             for x in (keys, right, ids, places):
                 x.clear()
             size = 0
-            kinds = (pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 5)
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds)], names=list(rows))
+            yield packed()
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -333,9 +356,9 @@ def _runs(docs: DataFrame, bitmap: bytes, hot: np.ndarray, parts: int) -> DataFr
                     size += 200
                 ids.extend([doc] * len(hit))
                 if size > RUN_BYTES:
-                    yield flush()
+                    yield from flush()
         if keys:
-            yield flush()
+            yield from flush()
 
     return docs.mapInArrow(run, _PIECES)
 
@@ -350,15 +373,20 @@ def _merge_part(blobs: list[bytes]) -> Iterator[tuple[int, int, int]]:
     def close():
         if len(group) < 2:
             return
-        first: dict[bytes, tuple[int, int]] = {}
-        for key, right, doc, place in group:
-            for o, s in _strings(key, right):
-                at = (doc, place - o)
-                if s not in first or at < first[s]:
-                    first[s] = at
-        for key, right, doc, place in group:
-            starts = [place - o for o, s in _strings(key, right) if first[s] < (doc, place - o)]
-            for a, b in _spans_of(starts):
+        # A string has one offset, so many keys can be compared offset by offset.
+        turns = [None] if len(group) <= LARGE else range(SPAN)
+        late: list[list[int]] = [[] for _ in group]
+        for turn in turns:
+            first: dict[bytes, tuple[int, int]] = {}
+            for key, right, doc, place in group:
+                for o, s in _strings(key, right, turn):
+                    at = (doc, place - o)
+                    if s not in first or at < first[s]:
+                        first[s] = at
+            for (key, right, doc, place), starts in zip(group, late):
+                starts += [place - o for o, s in _strings(key, right, turn) if first[s] < (doc, place - o)]
+        for (_, _, doc, _), starts in zip(group, late):
+            for a, b in _spans_of(sorted(starts)):
                 yield doc, a, b
 
     for common, r in merge_runs([Run(b) for b in blobs]):
@@ -386,16 +414,39 @@ def _merge_part(blobs: list[bytes]) -> Iterator[tuple[int, int, int]]:
 
 def repeated_spans(docs: DataFrame, parts: int | None = None, hot_least: int = HOT_LEAST) -> DataFrame:
     """docs (id, text as binary) to (id, first, last): spans of repeated bytes, which may overlap."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     parts = parts or max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = 1 << max(4, (parts - 1).bit_length())
     bitmap, hot = _repeated_grams(_count_grams(docs, buckets), buckets, hot_least)
     pieces = materialize(_runs(docs, bitmap, hot, parts), "suffix-runs")
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_merge_part([bytes(b) for b in pdf["blob"]]), columns=["id", "first", "last"]).astype("int64")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, int, int]] = []
 
-    merged = pieces.where(f"kind = {_RUN_ROW}").select("part", "blob").groupBy("part").applyInPandas(merge, "id long, first long, last long")
+        def packed():
+            columns = zip(*rows) if rows else [[]] * 3
+            got = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "first", "last"])
+            rows.clear()
+            return got
+
+        def merged(blobs):
+            for row in _merge_part(blobs):
+                rows.append(row)
+                if len(rows) > 20_000:
+                    yield packed()
+
+        part, blobs = None, []
+        for batch in batches:
+            for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if p != part:
+                    yield from merged(blobs)
+                    part, blobs = p, []
+                blobs.append(blob)
+        yield from merged(blobs)
+        yield packed()
+
+    runs = pieces.where(f"kind = {_RUN_ROW}").select("part", "blob").repartition(parts, "part").sortWithinPartitions("part")
+    merged = runs.mapInArrow(merge, "id long, first long, last long")
     known = pieces.where(f"kind = {_SPAN_ROW}").select("id", "first", "last")
     strings = pieces.where(f"kind = {_STRING_ROW}").select("hi", "lo", "id", "first")
     low = strings.groupBy("hi", "lo").agg(F.min(F.struct("id", "first")).alias("m"))
