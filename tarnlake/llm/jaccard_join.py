@@ -9,11 +9,15 @@ corpus last.  Two linked sets share a shingle among the first n - o + 1 of each
 or more, two of the first n - o + 2.  Small sets therefore meet in lists keyed by
 every 2-subset of that prefix, large sets in the inverted lists of its single
 shingles; sets just below the boundary are in both.  The boundary is where the
-subsets of a set cost more than the entries of the lists it would scan.
+subsets of a set cost more than the entries of the lists it would scan.  The
+place of a key in a set's order bounds the size of the partners that it can have
+there; late keys only lead to smaller sets, so no two late entries are paired.
 
 In a list, every set is compared with the list's smallest id first; the links
 give components, and only sets of different components are compared further, as
-a link inside a component changes nothing.  No candidate is dropped.
+a link inside a component changes nothing.  No candidate is dropped: a pair goes
+only where what its prefixes share, and all that is left of the set whose prefix
+ends first, cannot make the overlap.  Whole sets are read for the other pairs.
 
 The order needs word and shingle frequencies of the whole corpus; two hashed
 tables of CELLS counters hold them.  They only order: a wrong count costs time.
@@ -28,8 +32,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -37,12 +41,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, text_or_empty
+from .common import materialize, read_table, small_batches, text_or_empty
 from .components import components
 
 CELLS = 1 << 20  # counters of each table
 COMMON = 1 << 15  # a word is common from one in so many
 CHUNKS = 64  # parts in which the tables are summed
+MAPPED_IDS = 1 << 20  # up to so many documents are picked by a bit map of 2^24 bits, more by a join
+MAP_BITS = 24
+BEFORE = 24  # keys before an entry that are kept to see whether a pair has met already
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -127,19 +134,20 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
         count()
         if tables.any():
             width = 2 * CELLS // CHUNKS
-            parts = [x.astype("<u4").tobytes() for x in tables.ravel().reshape(CHUNKS, width)]
+            parts = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in tables.ravel().reshape(CHUNKS, width)]
             yield batch_of(1, [None] * CHUNKS, [0] * CHUNKS, [None] * CHUNKS, list(range(CHUNKS)), parts)
 
     return docs.mapInArrow(run, "kind int, id long, n long, print binary, chunk int, counts binary")
 
 
 def _tables(scan: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """Which cells hold common words, which hold frequent shingles, and the mean
-    length of a shingle's list.  The driver gets two bits per cell."""
+    """Which cells hold common words, how frequent the shingles of a cell are (0:
+    no more than chance), and the mean length of a list.  The driver gets CELLS
+    numbers of each table."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, "<u4").astype(np.int64) for x in pdf["counts"]], axis=0)
-        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "counts": [np.minimum(total, 1 << 40).astype("<i8").tobytes()]})
+        total = np.sum([np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64) for x in pdf["counts"]], axis=0)
+        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "counts": [zlib.compress(total.astype("<i8").tobytes(), 1)]})
 
     def combine(df: DataFrame) -> DataFrame:
         return df.groupBy("chunk").applyInPandas(add, "chunk int, counts binary")
@@ -147,14 +155,15 @@ def _tables(scan: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     got = combine(scan.where("kind = 1").select("chunk", "counts")).collect()
     flat = np.zeros((CHUNKS, 2 * CELLS // CHUNKS), np.int64)
     for r in got:
-        flat[r["chunk"]] = np.frombuffer(r["counts"], "<i8")
+        flat[r["chunk"]] = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
     words, shings = flat.ravel().reshape(2, CELLS)
     mean = shings.mean()
-    common = words > max(8, words.sum() / COMMON)
-    frequent = shings > 4 * mean + 16
-    light = shings[~frequent].astype(float)
+    common = (words > max(8, words.sum() / COMMON)).astype(np.uint8)
+    over = (shings - mean) / (3 * math.sqrt(mean) + 4)
+    level = np.where(over > 1, np.log2(np.maximum(over, 1)) + 1, 0).astype(np.uint8)
+    light = shings[level == 0].astype(float)
     spread = float((light**2).sum() / max(1.0, light.sum()) - light.mean()) if len(light) else 1.0
-    return common, frequent, max(1.0, spread)
+    return common, level, max(1.0, spread)
 
 
 # --- candidate lists ---------------------------------------------------------------
@@ -169,19 +178,18 @@ def boundary(percent: int, list_length: float) -> int:
     return 100_000
 
 
-def _keys(docs: DataFrame, k: int, percent: int, common: np.ndarray, frequent: np.ndarray, limit: int) -> DataFrame:
-    """(key, id, n): the lists that a set is in.  Equal sets of a task are listed once."""
-    bits = docs.sparkSession.sparkContext.broadcast((np.packbits(common), np.packbits(frequent)))  # 2 * CELLS / 8 bytes
+def _prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray, level: np.ndarray) -> DataFrame:
+    """(id, n, prefix): the first n - o + 2 shingles of each set.  Equal sets of a task are named once."""
+    tables = docs.sparkSession.sparkContext.broadcast((common, level))  # 2 * CELLS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        is_common, is_frequent = (np.unpackbits(x).astype(bool) for x in bits.value)
+        is_common, frequent = tables.value
         seen: set[bytes] = set()
         for batch in batches:
-            keys, ids, ns = [], [], []
+            ids, ns, firsts = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 w = word_hashes(text)
-                raw = shingles(w, k)
-                s, at = np.unique(raw, return_index=True)
+                s, at = np.unique(shingles(w, k), return_index=True)
                 n = len(s)
                 if n < 2 or doc is None:  # a set of one only links with its equals
                     continue
@@ -191,24 +199,86 @@ def _keys(docs: DataFrame, k: int, percent: int, common: np.ndarray, frequent: n
                 if len(seen) > 300_000:
                     seen.clear()
                 seen.add(mark)
-                rank = _common_words(w, k, is_common)[at] + (k + 1) * is_frequent[(s >> np.uint64(44)).astype(np.int64)]
-                p = n - least_overlap(n, percent) + 1
-                first = s[np.lexsort((s, rank))[: p + 1]]
+                rank = _common_words(w, k, is_common)[at] + (k + 1) * frequent[(s >> np.uint64(44)).astype(np.int64)].astype(np.int64)
+                ids.append(doc)
+                ns.append(n)
+                firsts.append(s[np.lexsort((s, rank))[: n - least_overlap(n, percent) + 2]].view(np.int64))
+            ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
+            flat = pa.array(np.concatenate([*firsts, np.zeros(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["id", "n", "prefix"])
+
+    return docs.mapInArrow(run, "id long, n int, prefix array<long>")
+
+
+def _keys(prefixes: DataFrame, percent: int, limit: int) -> DataFrame:
+    """(key, id, size): the lists that a set is in; size has the set's own size
+    and, in its lower half, that of the largest partner it can have there."""
+
+    def sized(n: int, place: np.ndarray) -> np.ndarray:
+        return (n << 32) + np.maximum((n - place) * (100 + percent) // percent - n, 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for doc, n, prefix in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                first = prefix.values.to_numpy().view(np.uint64)
                 own = []
                 if n < limit:
                     i, j = np.triu_indices(len(first), 1)
                     a, b = np.minimum(first[i], first[j]), np.maximum(first[i], first[j])
-                    own.append((a ^ (b >> np.uint64(7))) * _A + b * _B)
+                    own.append(((a ^ (b >> np.uint64(7))) * _A + b * _B, sized(n, j - 1)))  # i < j
                 if n >= least_overlap(limit, percent):
-                    own.append(first[:p])
-                own = np.unique(np.concatenate(own)).view(np.int64)
-                keys.append(own)
-                ids.append(np.full(len(own), doc, np.int64))
-                ns.append(np.full(len(own), n, np.int32))
-            join = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0, t))
-            yield pa.RecordBatch.from_arrays([join(keys, np.int64), join(ids, np.int64), join(ns, np.int32)], names=["key", "id", "n"])
+                    p = n - least_overlap(n, percent) + 1
+                    own.append((first[:p], sized(n, np.arange(p))))
+                for key, size in own:
+                    keys.append(key.view(np.int64))
+                    sizes.append(size)
+                    ids.append(np.full(len(key), doc, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, sizes)], names=["key", "id", "size"])
+
+    return prefixes.mapInArrow(run, "key long, id long, size long")
+
+
+def _own(size: Column) -> Column:
+    return F.shiftright(size, 32)
+
 
-    return docs.mapInArrow(run, "key long, id long, n int")
+def _most(size: Column) -> Column:
+    return size.bitwiseAND((1 << 32) - 1)
+
+
+def _pairable(a: Column, b: Column, percent: int) -> Column:
+    """Whether entries of these sizes can be those of a link."""
+    n, m = _own(a), _own(b)
+    return (m <= _most(a)) & (n <= _most(b)) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
+
+
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of ids and, where a bit map picks them, some others."""
+    if ids.count() > MAPPED_IDS:
+        return texts.join(ids, "id", "left_semi")
+    place = F.shiftrightunsigned(F.xxhash64("id"), 64 - MAP_BITS)
+
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << (MAP_BITS - 6), np.uint8)
+        bits[pdf["bit"].to_numpy() & (len(bits) - 1)] = 1
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
+
+    at = ids.select(place.alias("bit")).distinct().withColumn("part", F.shiftright("bit", MAP_BITS - 6).cast("int"))
+    rows = at.groupBy("part").applyInPandas(mark, "part int, bits binary").collect()  # 64 parts of 2^15 bytes
+    parts = [bytes(1 << (MAP_BITS - 9))] * 64
+    for r in rows:
+        parts[r["part"]] = zlib.decompress(r["bits"])
+    sent = texts.sparkSession.sparkContext.broadcast(b"".join(parts))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(sent.value, np.uint8)
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            hit = bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+            yield batch.filter(pa.array(hit.astype(bool))).select([0, 1])
+
+    return texts.where("id is not null").withColumn("bit", place).mapInArrow(pick, "id long, text string")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -224,12 +294,20 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, s array<long>")
 
 
-def _near_sizes(n: Column, m: Column, percent: int) -> Column:
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+def _promising(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that by their prefixes may link."""
+    side = lambda x: prefixes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"p_{x}"))
+    x = pairs.join(side("b"), "b").join(side("a"), "a")
+    shared = F.size(F.array_intersect("p_a", "p_b"))
+    left = F.greatest(F.col("n_a") - F.size("p_a"), F.col("n_b") - F.size("p_b"))
+    x = x.select("a", "b", (shared + left).alias("most"), (F.col("n_a") + F.col("n_b")).alias("both"))
+    return x.where(F.col("most") * (100 + percent) >= F.col("both") * percent).select("a", "b").distinct()
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets pass."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = materialize(_sets(_texts_of(texts, ids), k), "join-sets")
     x = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b").join(sets.withColumnRenamed("id", "a"), "a")
     both = F.size(F.array_intersect("s", "t"))
     x = x.select("a", "b", both.alias("i"), (F.size("s") + F.size("t")).alias("sum"))
@@ -238,40 +316,50 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_join(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n, component."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     scan = materialize(_scan(texts, k), "join-scan")
-    common, frequent, length = _tables(scan)
+    common, level, length = _tables(scan)
     nodes = scan.where("kind = 0").select("id", "n", "print")
     classes = nodes.where("n > 0 and id is not null").groupBy("print").agg(F.min("id").alias("rep"))
     member = materialize(nodes.join(classes, "print", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "join-classes")
     rep = member.where("id is not null").groupBy("id").agg(F.min("rep").alias("rep"))  # rows that share an id are one node
     same_id = member.where("id is not null and rep is not null").join(rep.withColumnRenamed("rep", "low"), "id").where("rep <> low")
 
-    keys = materialize(_keys(texts, k, percent, common, frequent, boundary(percent, length)), "join-keys")
-    shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    listed = keys.join(shared, "key").join(rep, "id").select("key", F.col("rep").alias("id"), "n").distinct()
-    pivots = listed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot")
-    listed = materialize(listed.join(pivots, "key"), "join-lists")
-
-    size = listed.groupBy("id").agg(F.first("n").alias("n"))
-    wanted = texts.join(size.select("id"), "id", "left_semi")
-    sets = materialize(_sets(wanted, k), "join-sets")
-
-    star = listed.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"), "n").distinct()
-    star = star.join(size.select(F.col("id").alias("b"), F.col("n").alias("m")), "b").where(_near_sizes(F.col("n"), F.col("m"), percent)).select("a", "b")
+    prefixes = materialize(_prefixes(texts, k, percent, common, level), "join-prefixes")
+    keys = _keys(prefixes, percent, boundary(percent, length)).repartition("key")
+    early = _most(F.col("size")) >= _own(F.col("size"))
+    several = (F.col("lo") < F.col("hi")) & F.col("early")
+    shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max(early).alias("early")).where(several).select("key")
+    listed = keys.join(shared, "key").join(rep, "id").select("key", F.col("rep").alias("id"), "size").distinct()
+    listed = materialize(listed, "join-listed")
+    pivot = F.min(F.when(early, F.struct("id", "size"))).alias("pivot")
+    pivots = listed.groupBy("key").agg(pivot, F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi and pivot is not null")
+    listed = materialize(listed.join(pivots.select("key", F.col("pivot.id").alias("pivot"), F.col("pivot.size").alias("pivot_size")), "key"), "join-lists")
+    # A class is named by its smallest id, whose prefix another task may have named for it.
+    own = prefixes.join(rep, "id").select(F.col("rep").alias("id"), "n", "prefix").dropDuplicates(["id", "n"])
+    own = materialize(own.join(listed.select("id").distinct(), "id", "left_semi"), "join-own")
+
+    star = listed.where((F.col("id") != F.col("pivot")) & _pairable(F.col("size"), F.col("pivot_size"), percent))
+    star = star.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    star = materialize(_promising(star, own, percent), "join-star")
     same = same_id.select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    links = materialize(_linked(star, sets, percent).unionByName(same), "join-links")
+    links = materialize(_linked(star, texts, k, percent).unionByName(same), "join-links")
     found = components(links, "join-round")
 
     left = listed.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = materialize(left.join(mixed, "key").select("key", "id", "n", "component", "pivot"), "join-left")
-    left = left.where("id <> pivot")  # a list's first set has been compared with all
-    other = left.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    rest = left.join(other, "key")
-    rest = rest.where((F.col("component") < F.col("other")) & _near_sizes(F.col("n"), F.col("m"), percent))
-    rest = rest.select(F.col("id").alias("a"), "b").distinct()
-    more = materialize(_linked(rest, sets, percent).unionByName(links), "join-links")
+    left = materialize(left.join(mixed, "key").where("id <> pivot").select("key", "id", "size", "component"), "join-left")
+    # The pivot has been compared with all; of two others one is early.  A pair is
+    # made where it first meets: not if the keys just before have one in common.
+    at = F.expr("int(array_position(prefix, key))")
+    before = F.when(at > 1, F.slice("prefix", F.greatest(F.lit(1), at - BEFORE), F.least(F.lit(BEFORE), at - 1))).otherwise(F.array().cast("array<long>"))
+    left = left.join(own.select("id", "prefix"), "id").withColumn("before", before).drop("prefix")
+    other = left.where(early).select("key", F.col("id").alias("b"), F.col("size").alias("other_size"), F.col("component").alias("other"), F.col("before").alias("other_before"))
+    fresh = (F.col("component") != F.col("other")) & ~F.arrays_overlap("before", "other_before")
+    rest = left.join(other, (left["key"] == other["key"]) & fresh & _pairable(F.col("size"), F.col("other_size"), percent))
+    rest = rest.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+    rest = materialize(_promising(rest, own, percent), "join-rest")
+    more = materialize(_linked(rest, texts, k, percent).unionByName(links), "join-links")
     final = components(more, "join-final").withColumnRenamed("node", "rep")
     out = member.join(final, "rep", "left")
     return out.select("id", "n", F.coalesce("component", "rep").alias("component"))
