@@ -29,7 +29,7 @@ from .common import read_table, small_batches, text_or_empty
 
 WINDOW = 4096
 END_ID = 2
-CACHE_WORDS = 700_000  # words whose ids a worker remembers; a full cache keeps the short ones
+CACHE_WORDS = 1_500_000  # words whose ids a worker remembers; a full cache keeps the short ones
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -40,71 +40,88 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: ASCII marks but for the apostrophe, which some rules of the vocabulary begin with.
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class WordIds:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     The vocabulary drops white space before it splits, and merges never cross
     it, so the ids of a text are those of its words one after another.  Words
-    not seen lately are encoded together, between end-of-text marks."""
+    not seen lately are encoded together.  Words of lower-case letters need no
+    normalising and no splitting, so a plainer tokenizer with the same merges
+    takes them; their ends are the tokens that the vocabulary marks as word ends."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.plain, self.marked = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
-        self.mark = self.plain.token_to_id("<|endoftext|>")
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.plain, self.light = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = self.light.encode_special_tokens = True
+        self.light.normalizer = normalizers.Sequence([])
+        self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.plain.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.cache: dict[bytes, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
-        """Ids of new words.  A full stop or comma after letters is a token of its
-        own, and case is dropped, so most new words are forms of a known one."""
-        cache, forms, simple = self.cache, [], set()
+        """Ids of new words.  Marks after letters are split off and taken as one,
+        and case is dropped, so most new words are forms of a known one."""
+        cache, forms, stems = self.cache, [], set()
         for w in words:
-            stem, mark = (w[:-1], w[-1:]) if w[-1:] in (b".", b",") else (w, b"")
-            if stem.isalpha():  # ASCII letters
+            stem = w.rstrip(_MARKS)
+            mark = w[len(stem) :]
+            if not stem.isalpha():  # other than ASCII letters
+                text = stem.decode()
+                low = text.lower()
+                if not (text.isalpha() and low.isalpha() and max(text) < "\u0180"):  # Latin letters are normal as they are
+                    cache[w] = self._encode(w.decode())
+                    continue
+                stem = low.encode()
+            else:
                 stem = stem.lower()
-            elif mark and not stem.decode().isalpha():
-                stem, mark = w, b""
-            if stem != w:
-                forms.append((w, stem, mark))
+            forms.append((w, stem, mark))
             if stem not in cache:
-                if b"<|" in stem:
-                    cache[stem] = self._encode(stem.decode())
-                else:
-                    simple.add(stem)
+                stems.add(stem)
             if mark and mark not in cache:
-                simple.add(mark)
-        order = list(simple)
-        parts = [order[k : k + 2000] for k in range(0, len(order), 2000)]
-        for part in parts:
-            joined = "<|endoftext|>".join([w.decode() for w in part])
-            ids = np.array(self.marked.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-            cut = np.flatnonzero(ids == self.mark)
-            if len(cut) != len(part) - 1:
-                cache.update((w, self._encode(w.decode())) for w in part)
-                continue
+                cache[mark] = self._encode(mark.decode())
+        order = list(stems)
+        for k in range(0, len(order), 5000):
+            part = order[k : k + 5000]
+            ids = np.array(self.light.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cut = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(cut) != len(part):
+                raise ValueError("a word without an end token")
             raw, at = ids.tobytes(), 0
-            for w, end in zip(part, [*(4 * cut).tolist(), len(raw)]):
+            for w, end in zip(part, cut.tolist()):
                 cache[w] = raw[at:end]
-                at = end + 4
+                at = end
         for w, stem, mark in forms:
-            cache[w] = cache[stem] + cache[mark] if mark else cache[stem]
+            if w != stem:
+                cache[w] = cache[stem] + cache[mark] if mark else cache[stem]
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "replace").split() for t in texts]
+    def encode_batch(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of UTF-8 texts."""
+        split = [t.split() for t in texts]
         cache = self.cache
         if len(cache) > CACHE_WORDS:
             for w in [w for w in cache if len(w) > 7]:
                 del cache[w]
             if len(cache) > CACHE_WORDS // 2:
                 cache.clear()
-        new = {w for words in split for w in words if w not in cache}
+        found = [list(map(cache.get, words)) for words in split]
+        gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
+        new = {words[i] for words, gap in zip(split, gaps) for i in gap}
         if new:
             self._learn(list(new))
-        return [b"".join(map(cache.__getitem__, words)) for words in split]
+        for words, ids, gap in zip(split, found, gaps):
+            for i in gap:
+                ids[i] = cache[words[i]]
+        return [b"".join(ids) for ids in found]
 
 
 _CODERS: dict[str, WordIds] = {}  # one per worker process, so that its tasks share the cache
@@ -229,7 +246,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             return got
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
             for k in range(0, len(texts), 256):
                 for doc, data in zip(ids[k : k + 256], words.encode_batch(texts[k : k + 256])):
                     data += end
