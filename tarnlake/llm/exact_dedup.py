@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, materialize, read_table, text_or_empty
+from .common import BLANKS, materialize, read_table, small_batches, text_or_empty, texts_of
 
 BUCKET_KEYS = 100_000  # mean number of distinct digests in a bucket
 
@@ -171,8 +171,9 @@ def match(docs: DataFrame, snapshot: DataFrame, batch: DataFrame, buckets: int,
         "dedup-positives",
     )
     wanted = pairs.select("digest", F.explode(F.array("best.i", "best_s.i")).alias("id")).where("id is not null")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), normalised(text_or_empty(text_col)).alias("t"))
-    seen = wanted.join(texts, "id").where(F.unhex(F.sha2(F.encode("t", "UTF-8"), 256)) == F.col("digest"))
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    picked = texts_of(texts, wanted.select("id").distinct()).select("id", normalised(F.col("text")).alias("t"))
+    seen = wanted.join(picked, "id").where(F.unhex(F.sha2(F.encode("t", "UTF-8"), 256)) == F.col("digest"))
     # Equal bytes: one distinct text among the two representatives of a digest.
     same = seen.groupBy("digest").agg((F.count_distinct("t") == 1).alias("same"))
     return (

@@ -41,14 +41,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, small_batches, text_or_empty
+from .common import materialize, read_table, small_batches, text_or_empty, texts_of
 from .components import components
 
 CELLS = 1 << 20  # counters of each table
 COMMON = 1 << 15  # a word is common from one in so many
 CHUNKS = 64  # parts in which the tables are summed
-MAPPED_IDS = 1 << 20  # up to so many documents are picked by a bit map of 2^24 bits, more by a join
-MAP_BITS = 24
 BEFORE = 24  # keys before an entry that are kept to see whether a pair has met already
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -253,34 +251,6 @@ def _pairable(a: Column, b: Column, percent: int) -> Column:
     return (m <= _most(a)) & (n <= _most(b)) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
 
 
-def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of ids and, where a bit map picks them, some others."""
-    if ids.count() > MAPPED_IDS:
-        return texts.join(ids, "id", "left_semi")
-    place = F.shiftrightunsigned(F.xxhash64("id"), 64 - MAP_BITS)
-
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(1 << (MAP_BITS - 6), np.uint8)
-        bits[pdf["bit"].to_numpy() & (len(bits) - 1)] = 1
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
-
-    at = ids.select(place.alias("bit")).distinct().withColumn("part", F.shiftright("bit", MAP_BITS - 6).cast("int"))
-    rows = at.groupBy("part").applyInPandas(mark, "part int, bits binary").collect()  # 64 parts of 2^15 bytes
-    parts = [bytes(1 << (MAP_BITS - 9))] * 64
-    for r in rows:
-        parts[r["part"]] = zlib.decompress(r["bits"])
-    sent = texts.sparkSession.sparkContext.broadcast(b"".join(parts))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(sent.value, np.uint8)
-        for batch in batches:
-            at = batch.column(2).to_numpy()
-            hit = bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
-            yield batch.filter(pa.array(hit.astype(bool))).select([0, 1])
-
-    return texts.where("id is not null").withColumn("bit", place).mapInArrow(pick, "id long, text string")
-
-
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,7 +277,7 @@ def _promising(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets pass."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize(_sets(_texts_of(texts, ids), k), "join-sets")
+    sets = materialize(_sets(texts_of(texts, ids), k), "join-sets")
     x = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b").join(sets.withColumnRenamed("id", "a"), "a")
     both = F.size(F.array_intersect("s", "t"))
     x = x.select("a", "b", both.alias("i"), (F.size("s") + F.size("t")).alias("sum"))
