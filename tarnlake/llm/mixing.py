@@ -11,7 +11,8 @@ only; everything random is a hash of the seed, so reruns agree.
 
 Of the last epoch of a source, whole blocks are taken while they fit; of the
 next block every document, in hash order, that still fits, then the one that
-comes nearest to what is missing, if taking it comes nearer.
+comes nearest to what is missing, if taking it comes nearer.  Of TRIES hash
+orders of that one block the one that comes nearest to the target counts.
 
 Defined cases: a null text has size 0; a null source is a source, last in
 order; a source without words has target 0.  Rows with a null id or rows that
@@ -31,6 +32,7 @@ MAX_EPOCHS = 3
 BLOCK_WORDS = 1 << 20  # mean words of a block at most
 BLOCK_DOCS = 512  # mean documents of a block at most
 SHARDS = 16  # a power of two
+TRIES = 32
 SEED = 7
 
 
@@ -101,8 +103,8 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> D
 
 
 def _fill(items: Column, room: Column) -> Column:
-    """The documents of one block (BLOCK_DOCS on average) that fill its room:
-    each that fits, in order, and at last the nearest one."""
+    """(off, got): the documents of one block (BLOCK_DOCS on average) that fill its
+    room, each that fits, in order, and at last the nearest one; and what is amiss."""
     none = F.array().cast("array<struct<h:long,id:long,size:long,words:long>>")
     start = F.struct(room.cast("double").alias("room"), none.alias("got"), none.alias("left"))
 
@@ -117,7 +119,8 @@ def _fill(items: Column, room: Column) -> Column:
     def nearest(a: Column) -> Column:
         off = F.transform(a["left"], lambda x: F.struct(F.abs(x["words"] - a["room"]).alias("off"), x.alias("x")))
         best = F.filter(F.array(F.array_min(off)), lambda y: y["off"] < a["room"])
-        return F.concat(a["got"], F.transform(best, lambda y: y["x"]))
+        amiss = F.coalesce(F.array_min(F.transform(best, lambda y: y["off"])), a["room"])
+        return F.struct(amiss.alias("off"), F.concat(a["got"], F.transform(best, lambda y: y["x"])).alias("got"))
 
     return F.aggregate(items, start, step, nearest)
 
@@ -157,8 +160,10 @@ def plan_mix(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, weights: t
     some = dealt.select("id", "size", "idx", "block").where("size > 0").join(part, ["idx", "block"])
     same = some.groupBy("idx", "block", "id", "size").agg(F.first("room").alias("room"), F.sum("size").alias("words"))
     item = F.struct(F.xxhash64(F.lit(seed), F.lit("doc"), "id", "size").alias("h"), "id", "size", "words")
+    order = lambda t, x: F.struct(F.xxhash64(x["h"], t).alias("h"), x["id"].alias("id"), x["size"].alias("size"), x["words"].alias("words"))
+    fills = F.transform(F.sequence(F.lit(1), F.lit(TRIES)), lambda t: _fill(F.array_sort(F.transform("items", lambda x: order(t, x))), F.col("room")))
     lists = same.groupBy("idx", "block").agg(F.first("room").alias("room"), F.sort_array(F.collect_list(item)).alias("items"))
-    picks = lists.select("idx", "block", F.explode(_fill(F.col("items"), F.col("room"))).alias("x")).select("idx", "block", "x.id", "x.size")
+    picks = lists.select("idx", "block", F.explode(F.array_min(fills)["got"]).alias("x")).select("idx", "block", "x.id", "x.size")
     picks = materialize(picks, "mix-picks")
     return sources, draws, picks
 
