@@ -29,6 +29,7 @@ from .common import read_table, small_batches, text_or_empty
 
 WINDOW = 4096
 END_ID = 2
+STAGE_CACHE_WORDS = 150_000
 CACHE_WORDS = 1_500_000  # words whose ids a worker remembers; a full cache keeps the short ones
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -53,7 +54,7 @@ class WordIds:
     normalising and no splitting, so a plainer tokenizer with the same merges
     takes them; their ends are the tokens that the vocabulary marks as word ends."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_WORDS):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.plain, self.light = Tokenizer.from_file(path), Tokenizer.from_file(path)
@@ -64,6 +65,7 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.cache: dict[bytes, bytes] = {}
+        self.most = most
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -108,10 +110,10 @@ class WordIds:
         """Ids of UTF-8 texts."""
         split = [t.split() for t in texts]
         cache = self.cache
-        if len(cache) > CACHE_WORDS:
+        if len(cache) > self.most:
             for w in [w for w in cache if len(w) > 7]:
                 del cache[w]
-            if len(cache) > CACHE_WORDS // 2:
+            if len(cache) > self.most // 2:
                 cache.clear()
         found = [list(map(cache.get, words)) for words in split]
         gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
@@ -124,13 +126,13 @@ class WordIds:
         return [b"".join(ids) for ids in found]
 
 
-_CODERS: dict[str, WordIds] = {}  # one per worker process, so that its tasks share the cache
+_CODERS: dict[tuple[str, int], WordIds] = {}  # one per worker process, so that its tasks share the cache
 
 
-def coder(path: str) -> WordIds:
-    if path not in _CODERS:
-        _CODERS[path] = WordIds(path)
-    return _CODERS[path]
+def coder(path: str, most: int) -> WordIds:
+    if (path, most) not in _CODERS:
+        _CODERS[path, most] = WordIds(path, most)
+    return _CODERS[path, most]
 
 
 class SumOfSquares:
@@ -222,7 +224,7 @@ def close_open(pieces: dict[int, list[list[int]]], fill: dict[int, int], packer:
     return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece; columns as in SCHEMA."""
     path = tokenizer or tokenizer_path()
     names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -230,7 +232,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, packer, base = coder(path), SumOfSquares(window), TaskContext.get().partitionId() << 40
+        words, packer, base = coder(path, cache_words), SumOfSquares(window), TaskContext.get().partitionId() << 40
         end = np.array([END_ID], "<u4").tobytes()
         tails: dict[int, tuple] = {}  # documents with a piece in an open window: id, tokens, place and ids of the tail
         held: dict[int, list[list[int]]] = {}
@@ -283,5 +285,6 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents as packed pieces."""
-    return pack(docs)
+    """Pipeline stage: the documents as packed pieces.  Its workers have run the
+    stages before and keep some of their memory, so the word cache is small."""
+    return pack(docs, cache_words=STAGE_CACHE_WORDS)

@@ -31,7 +31,7 @@ from .common import read_table, small_batches, text_or_empty
 
 LABELLED = 8000
 FEATURES = 1024
-LEAST_DOCS = 4  # training documents that a feature must be in
+LEAST_DOCS = 4  # toxic training documents that a feature must be in
 LEAST_Z = 4.0  # standard errors by which a feature's log odds must differ from 0
 LEAST_ODDS = 1.0  # and by how much they must differ
 CUT = 0.5  # toxic from this probability of a grade above 0
@@ -92,11 +92,17 @@ def train(texts: list[str], toxic: list[int]) -> dict:
     y = np.array(toxic, int)
     if not len(y) or y.min() == y.max():
         return {"weights": {}, "theta": []}
+    # Only features of toxic texts are of use; those of the others are many.
     counts = (Counter(), Counter())
     for t, label in zip(texts, toxic):
-        counts[label].update(features(t))
+        if label:
+            counts[1].update(features(t))
+    usual = {f for f, n in counts[1].items() if n >= LEAST_DOCS}
+    for t, label in zip(texts, toxic):
+        if not label:
+            counts[0].update(features(t) & usual)
     n1, n0 = int(y.sum()), int((1 - y).sum())
-    seen = [f for f in counts[0].keys() | counts[1].keys() if counts[0][f] + counts[1][f] >= LEAST_DOCS]
+    seen = sorted(usual)
     odds = {f: np.log((counts[1][f] + 0.5) / (n1 + 1)) - np.log((counts[0][f] + 0.5) / (n0 + 1)) for f in seen}
     z = {f: abs(odds[f]) / np.sqrt(1 / (counts[1][f] + 0.5) + 1 / (counts[0][f] + 0.5)) for f in seen}
     chosen = sorted(sorted(f for f in seen if z[f] >= LEAST_Z and abs(odds[f]) >= LEAST_ODDS), key=lambda f: -z[f])[:FEATURES]
