@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TYPE = "rdf:type"
 
 
-def first_mappings(pairs: DataFrame) -> DataFrame:
-    """(seq, text, uri): one uri per text and one text per uri, the first wins."""
-    by = lambda c: F.row_number().over(Window.partitionBy(c).orderBy("seq"))
-    return pairs.withColumn("a", by("text")).where("a = 1").withColumn("b", by("uri")).where("b = 1").drop("a", "b")
+def first_mappings(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(seq, text, uri) to (text, uri) and (uri, text): each text keeps its first
+    uri and, independently, each uri its first text."""
+    one = lambda key, other: pairs.groupBy(key).agg(F.min_by(other, "seq").alias(other))
+    return one("text", "uri"), one("uri", "text")
 
 
 def link_cells(cells: DataFrame, link: DataFrame) -> DataFrame:
