@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -67,14 +68,37 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the system: workers
+    live on, and what they keep counts against the executor's later stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def releasing(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, with release() at the end of a task."""
+
+    def wrapped(batches: Batches) -> Batches:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 MAPPED_IDS = 1 << 20  # up to so many documents are picked by a bit map of 2^24 bits, more by a join
 MAP_BITS = 24
 
 
-def texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of ids and, where a bit map picks them, some others."""
+def texts_of(texts: DataFrame, ids: DataFrame, make: Callable[[Batches], Batches] | None = None, schema: str = "id long, text string") -> DataFrame:
+    """The texts of ids and, where a bit map picks them, some others.  make, if
+    given, turns their batches into others in the worker that picks them."""
     if ids.count() > MAPPED_IDS:
-        return texts.join(ids, "id", "left_semi")
+        found = texts.join(ids, "id", "left_semi")
+        return found.mapInArrow(releasing(make), schema) if make else found
     place = F.shiftrightunsigned(F.xxhash64("id"), 64 - MAP_BITS)
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -89,11 +113,11 @@ def texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
         parts[r["part"]] = zlib.decompress(r["bits"])
     sent = texts.sparkSession.sparkContext.broadcast(b"".join(parts))
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pick(batches: Batches) -> Batches:
         bits = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
             at = batch.column(2).to_numpy()
             hit = bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
             yield batch.filter(pa.array(hit.astype(bool))).select([0, 1])
 
-    return texts.where("id is not null").withColumn("bit", place).mapInArrow(pick, "id long, text string")
+    return texts.where("id is not null").withColumn("bit", place).mapInArrow(releasing(lambda batches: make(pick(batches)) if make else pick(batches)), schema)

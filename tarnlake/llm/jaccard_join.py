@@ -33,7 +33,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, small_batches, text_or_empty, texts_of
+from .common import materialize, read_table, releasing, small_batches, text_or_empty, texts_of
 from .components import components
 
 CELLS = 1 << 20  # counters of each table
@@ -135,7 +135,7 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
             parts = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in tables.ravel().reshape(CHUNKS, width)]
             yield batch_of(1, [None] * CHUNKS, [0] * CHUNKS, [None] * CHUNKS, list(range(CHUNKS)), parts)
 
-    return docs.mapInArrow(run, "kind int, id long, n long, print binary, chunk int, counts binary")
+    return docs.mapInArrow(releasing(run), "kind int, id long, n long, print binary, chunk int, counts binary")
 
 
 def _tables(scan: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
@@ -205,7 +205,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray, level:
             flat = pa.array(np.concatenate([*firsts, np.zeros(0, np.int64)]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["id", "n", "prefix"])
 
-    return docs.mapInArrow(run, "id long, n int, prefix array<long>")
+    return docs.mapInArrow(releasing(run), "id long, n int, prefix array<long>")
 
 
 def _keys(prefixes: DataFrame, percent: int, limit: int) -> DataFrame:
@@ -234,7 +234,7 @@ def _keys(prefixes: DataFrame, percent: int, limit: int) -> DataFrame:
                     ids.append(np.full(len(key), doc, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, sizes)], names=["key", "id", "size"])
 
-    return prefixes.mapInArrow(run, "key long, id long, size long")
+    return prefixes.mapInArrow(releasing(run), "key long, id long, size long")
 
 
 def _own(size: Column) -> Column:
@@ -251,7 +251,9 @@ def _pairable(a: Column, b: Column, percent: int) -> Column:
     return (m <= _most(a)) & (n <= _most(b)) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
+def _sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (id, text) to batches of (id, s)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
@@ -261,7 +263,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 values = pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "s"])
 
-    return docs.mapInArrow(run, "id long, s array<long>")
+    return run
 
 
 def _promising(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
@@ -277,7 +279,7 @@ def _promising(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets pass."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize(_sets(texts_of(texts, ids), k), "join-sets")
+    sets = materialize(texts_of(texts, ids, _sets(k), "id long, s array<long>"), "join-sets")
     x = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b").join(sets.withColumnRenamed("id", "a"), "a")
     both = F.size(F.array_intersect("s", "t"))
     x = x.select("a", "b", both.alias("i"), (F.size("s") + F.size("t")).alias("sum"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches, text_or_empty
+from .common import read_table, releasing, small_batches, text_or_empty
 
 WINDOW = 4096
 END_ID = 2
@@ -277,7 +277,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         yield flush()
 
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(releasing(run), SCHEMA)
 
 
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches, text_or_empty
+from .common import read_table, release, releasing, small_batches, text_or_empty
 
 LABELLED = 8000
 FEATURES = 1024
@@ -131,6 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
         model = train(pdf["text"].tolist(), (pdf["toxic"] > 0).astype(int).tolist())
+        release()
         rows = [(f, x) for f, x in model["weights"].items()] + [(b"", x) for x in model["theta"]]
         return pd.DataFrame(rows, columns=["feature", "value"]).astype({"feature": object, "value": float})
 
@@ -159,7 +160,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             )
 
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, expected_severity double, severity int, p_toxic double, toxic boolean")
+    return rows.mapInArrow(releasing(run), "doc_id long, expected_severity double, severity int, p_toxic double, toxic boolean")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
