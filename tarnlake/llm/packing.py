@@ -224,8 +224,9 @@ def close_open(pieces: dict[int, list[list[int]]], fill: dict[int, int], packer:
     return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """One row per piece; columns as in SCHEMA."""
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, cache_words: int = CACHE_WORDS, give_back: bool = False) -> DataFrame:
+    """One row per piece; columns as in SCHEMA.  give_back: workers return unused
+    memory at the end of each task, for some CPU time."""
     path = tokenizer or tokenizer_path()
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
@@ -277,7 +278,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         yield flush()
 
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(releasing(run), SCHEMA)
+    return rows.mapInArrow(releasing(run) if give_back else run, SCHEMA)
 
 
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,4 +288,4 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents as packed pieces.  Its workers have run the
     stages before and keep some of their memory, so the word cache is small."""
-    return pack(docs, cache_words=STAGE_CACHE_WORDS)
+    return pack(docs, cache_words=STAGE_CACHE_WORDS, give_back=True)
