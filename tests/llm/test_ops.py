@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnlake.llm import exact_dedup, jaccard_join, mixing, packing, pii, quality, suffix_dedup, token_counts, toxicity, warc
+from tarnlake.llm import common, exact_dedup, jaccard_join, mixing, packing, pii, quality, suffix_dedup, token_counts, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -227,6 +227,12 @@ def test_jaccard_join(spark, odd, docs, k, percent):
     assert jaccard_join.jaccard_join(odd, k, percent).count() == len(ODD)
 
 
+def test_jaccard_join_picks_texts_by_join(docs, monkeypatch):
+    monkeypatch.setattr(common, "MAPPED_IDS", -1)
+    got = {r.id: (r.n, r.component) for r in jaccard_join.jaccard_join(docs, 3, 90).collect()}
+    assert got == brute_components(texts(docs), 3, 90)
+
+
 def test_token_counts(odd, docs):
     coder = token_counts.encoder(token_counts.vocabulary_path())
     full = lambda t: len(coder.encode_ordinary(t))
