@@ -122,12 +122,16 @@ def normalised(text: Column) -> Column:
     return text
 
 
+def digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.encode(normalised(text), "UTF-8"), 256))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, digest (SHA-256 of the normalised text), length."""
     t = text_or_empty(text_col)
     return docs.select(
         F.col(id_col).cast("long").alias("id"),
-        F.unhex(F.sha2(F.encode(normalised(t), "UTF-8"), 256)).alias("digest"),
+        digest(t).alias("digest"),
         F.char_length(t).cast("long").alias("length"),
     )
 
@@ -228,6 +232,10 @@ FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of equal texts the row that exact_dedup keeps stays."""
-    kept = exact_dedup(docs).where("kept").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Pipeline stage: of equal texts the row that exact_dedup keeps stays.  Rows
+    that share an id stay or go together; rows with a null id are told apart by
+    their digests, which only they need here."""
+    lone = lambda i, d: F.when(i.isNull(), d)
+    kept = exact_dedup(docs).where("kept").select(F.col("id").alias("kept_id"), lone(F.col("id"), F.col("digest")).alias("kept_digest")).distinct()
+    own = lone(docs["doc_id"], digest(F.coalesce(docs["text"], F.lit(""))))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]) & own.eqNullSafe(kept["kept_digest"]), "left_semi")

@@ -227,6 +227,15 @@ def test_jaccard_join(spark, odd, docs, k, percent):
     assert jaccard_join.jaccard_join(odd, k, percent).count() == len(ODD)
 
 
+def test_dedup_stage_keeps_null_ids(spark, odd):
+    rows = [(None, "lone", "a"), (None, " first", "a"), (1, "first", "b"), (2, "f i r s t", "b"), (3, "x", None), (None, "x", None), (4, None, None), (5, "", None)]
+    df = spark.createDataFrame([(i, t, s, 1, 2) for i, t, s in rows], "doc_id long, text string, source string, id int, kept_id int")
+    got = exact_dedup.dedup_stage(spark, df, SF)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, "lone"), (2, "f i r s t"), (3, "x"), (4, "")]
+    assert exact_dedup.dedup_stage(spark, odd.limit(0), SF).count() == 0
+
+
 def test_jaccard_join_picks_texts_by_join(docs, monkeypatch):
     monkeypatch.setattr(common, "MAPPED_IDS", -1)
     got = {r.id: (r.n, r.component) for r in jaccard_join.jaccard_join(docs, 3, 90).collect()}
