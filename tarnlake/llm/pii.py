@@ -30,7 +30,7 @@ THRESHOLD = 0.5
 class Kind:
     name: str
     pattern: str
-    needs: str  # a text without a match of this cheap test has no span
+    needs: str  # a text without this string, or any character of this [class], has no span
     base: bool = False
     score: float = 1.0  # of a confirmed span
     context: str = ""  # a pattern of words before it that add 0.5
@@ -38,13 +38,13 @@ class Kind:
 
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", True),
-    Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "digit", True),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "digit", True),
+    Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "[0-9]", True),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9]", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", True),
-    Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", "digit"),
+    Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", "[0-9]"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", False, 0.3, r"(?i)\b(?:ssn|social|security|tax)\b"),
     Kind("access_key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", "A"),
-    Kind("secret", r"(?i)\b(?:password|passwd|token|secret|api_?key)\b[\x20]?[=:][\x20]?[\"']?[A-Za-z0-9_+/-]{8,}[\"']?", "a", False, 0.8),
+    Kind("secret", r"(?i)\b(?:password|passwd|token|secret|api_?key)\b[\x20]?[=:][\x20]?[\"']?[A-Za-z0-9_+/-]{8,}[\"']?", "[=:]", False, 0.8),
 )
 
 
@@ -106,7 +106,7 @@ def _spans(t: Column, kind: Kind) -> Column:
         return F.struct(F.lit(kind.name).alias("kind"), x["s"].alias("start"), x["e"].alias("end"), score.alias("score"))
 
     spans = F.filter(F.transform(found, scored), lambda x: x["score"] >= THRESHOLD)
-    cheap = F.regexp_like(t, F.lit("[0-9]")) if kind.needs == "digit" else F.contains(t, F.lit(kind.needs))
+    cheap = F.regexp_like(t, F.lit(kind.needs)) if kind.needs.startswith("[") else F.contains(t, F.lit(kind.needs))
     return F.coalesce(F.when(cheap, spans), F.array().cast(_NONE))
 
 

@@ -297,6 +297,12 @@ def test_pii(spark, odd, docs):
     assert len(found["iban"]) == 1
 
 
+def test_pii_secret_in_any_text(spark):
+    rows = [(1, 'TOKEN = "9233B8C7"'), (2, "secret: 12345678 ключ"), (3, "PASSWORD=XYZ12345"), (4, "API_KEY: QWERTYUI"), (5, "token 12345678"), (6, "token=1234567"), (7, "my password=hunter2hunter2")]
+    got = {r.doc_id: [(x["start"], x["end"]) for x in r["secret"]] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [(0, 18)], 2: [(0, 16)], 3: [(0, 17)], 4: [(0, 17)], 5: [], 6: [], 7: [(3, 26)]}
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
