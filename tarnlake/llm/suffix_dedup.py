@@ -1,7 +1,9 @@
 """Removal of repeated byte strings by a common-prefix-aware merge sort.
 
 A byte goes when a SPAN-byte string covering it also starts earlier (in a
-document of smaller id, or earlier in the same one).
+document of smaller rank, or earlier in the same one).  The rank of a document is
+its id and, for rows without an id or with one that is not theirs alone, a number
+among them.
 
 Of all suffixes only those at anchors are sorted: the anchor of a SPAN-byte
 string is the place of the smallest hash among its GRAM-byte substrings, the
@@ -24,8 +26,9 @@ anchor on and then those before it, are the anchor's key.
    aggregated as rows, dealt by their digests.
 
 Defined cases: a null or empty text has no bytes.  A null id ranks after all
-others.  Rows that repeat an id are one document: each loses the spans found in
-any of them.  Empty tables give an empty result, extra columns are ignored.
+others.  Rows without an id, and rows that repeat one, are documents of their own,
+in order of the SHA-256 of their texts; of equal ones the first keeps the text.
+Empty tables give an empty result, extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, read_table, small_batches, text_or_empty
@@ -169,7 +172,7 @@ def _common_prefix(a: bytes, b: bytes, start: int = 0) -> int:
     return n - (x.bit_length() + 7) // 8
 
 
-def encode_run(keys: list[bytes], right: list[int], ids: list[int], places: list[int]) -> bytes:
+def encode_run(keys: list[bytes], right: list[int], ids: list[int], places: list[int], nums: list[int] | None = None) -> bytes:
     """A sorted run: per key the common prefix with the one before and the rest."""
     prefix, rest, before = [], [], b""
     for k in keys:
@@ -177,7 +180,7 @@ def encode_run(keys: list[bytes], right: list[int], ids: list[int], places: list
         prefix.append(c)
         rest.append(k[c:])
         before = k
-    heads = [np.array(prefix, np.uint8), np.array([len(r) for r in rest], np.uint8), np.array(right, np.uint8), np.array(places, np.int64), np.array(ids, np.int64)]
+    heads = [np.array(prefix, np.uint8), np.array([len(r) for r in rest], np.uint8), np.array(right, np.uint8), np.array(places, np.int64), np.array(ids, np.int64), np.array(nums or [0] * len(keys), np.int64)]
     return zlib.compress(len(keys).to_bytes(4, "little") + b"".join(x.tobytes() for x in heads) + b"".join(rest), 1)
 
 
@@ -189,8 +192,8 @@ class Run:
         n = int.from_bytes(raw[:4], "little")
         take = lambda at, kind, size: np.frombuffer(raw, kind, n, at).tolist() if n else []
         self.prefix, self.size, self.right = (take(4 + j * n, np.uint8, 1) for j in range(3))
-        self.place, self.id = take(4 + 3 * n, np.int64, 8), take(4 + 11 * n, np.int64, 8)
-        self.raw, self.n, self.at, self.i, self.key = raw, n, 4 + 19 * n, -1, b""
+        self.place, self.rank = take(4 + 3 * n, np.int64, 8), list(zip(take(4 + 11 * n, np.int64, 8), take(4 + 19 * n, np.int64, 8)))
+        self.raw, self.n, self.at, self.i, self.key = raw, n, 4 + 27 * n, -1, b""
 
     def step(self) -> int:
         """Moves on; the common prefix with the key before, or -1 at the end."""
@@ -278,7 +281,7 @@ def _strings(key: bytes, right: int, only: int | None = None) -> Iterator[tuple[
         yield o, text[left - o : left - o + SPAN]
 
 
-_PIECES = "kind int, part int, blob binary, id long, first long, last long, hi long, lo long"
+_PIECES = "kind int, part int, blob binary, id long, num long, first long, last long, hi long, lo long"
 _SPAN_ROW, _RUN_ROW, _STRING_ROW = 0, 1, 2
 
 
@@ -290,15 +293,15 @@ def _runs(docs: DataFrame, bitmap: bytes, hot: np.ndarray, parts: int) -> DataFr
         flags, heat = np.frombuffer(zlib.decompress(sent.value[0]), np.uint8), np.frombuffer(sent.value[1], np.uint64)
         keys: list[bytes] = []
         right: list[int] = []
-        ids: list[int] = []
+        ranks: list[tuple[int, int]] = []
         places: list[int] = []
         size = 0
 
         def flush():
             nonlocal size
-            order = sorted(range(len(keys)), key=lambda i: (keys[i], right[i], ids[i], places[i]))
+            order = sorted(range(len(keys)), key=lambda i: (keys[i], right[i], ranks[i], places[i]))
             names = [x.split()[0] for x in _PIECES.split(", ")]
-            kinds = (pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 5)
+            kinds = (pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 6)
             rows: list[tuple] = []
 
             def packed():
@@ -308,14 +311,15 @@ def _runs(docs: DataFrame, bitmap: bytes, hot: np.ndarray, parts: int) -> DataFr
                 return got
 
             chosen: dict[int, list[int]] = {}
-            gone: dict[int, list[tuple[int, int]]] = {}
+            gone: dict[tuple[int, int], list[tuple[int, int]]] = {}
             before = None
             for i in order:
                 if len(rows) > 20_000:
                     yield packed()
                 k, r = keys[i], right[i]
                 if before is not None and k == keys[before] and r == right[before]:
-                    gone.setdefault(ids[i], []).append((places[i] - (len(k) - 8 - r), places[i] + r))
+                    if (ranks[i], places[i]) != (ranks[before], places[before]):
+                        gone.setdefault(ranks[i], []).append((places[i] - (len(k) - 8 - r), places[i] + r))
                     continue
                 before = i
                 h = int.from_bytes(k[:8], "big")
@@ -324,21 +328,21 @@ def _runs(docs: DataFrame, bitmap: bytes, hot: np.ndarray, parts: int) -> DataFr
                     for o, s in _strings(k, r):
                         d = hashlib.blake2b(s, digest_size=16).digest()
                         hi, lo = int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
-                        rows.append((_STRING_ROW, None, None, ids[i], places[i] - o, None, hi, lo))
+                        rows.append((_STRING_ROW, None, None, *ranks[i], places[i] - o, None, hi, lo))
                 else:
                     chosen.setdefault(h * parts >> 64, []).append(i)
-            for doc, spans in gone.items():
-                rows += [(_SPAN_ROW, None, None, doc, a, b, None, None) for a, b in _joined(spans)]
+            for rank, spans in gone.items():
+                rows += [(_SPAN_ROW, None, None, *rank, a, b, None, None) for a, b in _joined(spans)]
             for part, own in chosen.items():
-                blob = encode_run([keys[i] for i in own], [right[i] for i in own], [ids[i] for i in own], [places[i] for i in own])
-                rows.append((_RUN_ROW, part, blob, None, None, None, None, None))
-            for x in (keys, right, ids, places):
+                blob = encode_run([keys[i] for i in own], [right[i] for i in own], [ranks[i][0] for i in own], [places[i] for i in own], [ranks[i][1] for i in own])
+                rows.append((_RUN_ROW, part, blob, *[None] * 6))
+            for x in (keys, right, ranks, places):
                 x.clear()
             size = 0
             yield packed()
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for rank, text in zip(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()), batch.column(1)):
                 buffer = text.as_buffer()
                 data = np.frombuffer(buffer, np.uint8)
                 if len(data) < SPAN:
@@ -354,7 +358,7 @@ def _runs(docs: DataFrame, bitmap: bytes, hot: np.ndarray, parts: int) -> DataFr
                     right.append(b + SPAN - p)
                     places.append(p)
                     size += 200
-                ids.extend([doc] * len(hit))
+                ranks.extend([rank] * len(hit))
                 if size > RUN_BYTES:
                     yield from flush()
         if keys:
@@ -366,9 +370,9 @@ def _runs(docs: DataFrame, bitmap: bytes, hot: np.ndarray, parts: int) -> DataFr
 # --- 3: merge ------------------------------------------------------------------------
 
 
-def _merge_part(blobs: list[bytes]) -> Iterator[tuple[int, int, int]]:
-    """(id, first, last) of repeated spans in one range of keys."""
-    group: list[list] = []  # keys of one gram: key, right, id, place
+def _merge_part(blobs: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
+    """(id, num, first, last) of repeated spans in one range of keys."""
+    group: list[list] = []  # keys of one gram: key, right, rank, place
 
     def close():
         if len(group) < 2:
@@ -377,7 +381,7 @@ def _merge_part(blobs: list[bytes]) -> Iterator[tuple[int, int, int]]:
         turns = [None] if len(group) <= LARGE else range(SPAN)
         late: list[list[int]] = [[] for _ in group]
         for turn in turns:
-            first: dict[bytes, tuple[int, int]] = {}
+            first: dict[bytes, tuple[tuple[int, int], int]] = {}
             for key, right, doc, place in group:
                 for o, s in _strings(key, right, turn):
                     at = (doc, place - o)
@@ -387,10 +391,10 @@ def _merge_part(blobs: list[bytes]) -> Iterator[tuple[int, int, int]]:
                 starts += [place - o for o, s in _strings(key, right, turn) if first[s] < (doc, place - o)]
         for (_, _, doc, _), starts in zip(group, late):
             for a, b in _spans_of(sorted(starts)):
-                yield doc, a, b
+                yield *doc, a, b
 
     for common, r in merge_runs([Run(b) for b in blobs]):
-        key, right, doc, place = r.key, r.right[r.i], r.id[r.i], r.place[r.i]
+        key, right, doc, place = r.key, r.right[r.i], r.rank[r.i], r.place[r.i]
         if common < 8 + GRAM:
             yield from close()
             group = []
@@ -408,12 +412,13 @@ def _merge_part(blobs: list[bytes]) -> Iterator[tuple[int, int, int]]:
         if (doc, place) < (same[2], same[3]):
             doc, place, same[2], same[3] = same[2], same[3], doc, place
         if (doc, place) != (same[2], same[3]):
-            yield doc, place - (len(key) - 8 - right), place + right
+            yield *doc, place - (len(key) - 8 - right), place + right
     yield from close()
 
 
 def repeated_spans(docs: DataFrame, parts: int | None = None, hot_least: int = HOT_LEAST) -> DataFrame:
-    """docs (id, text as binary) to (id, first, last): spans of repeated bytes, which may overlap."""
+    """docs (id, text as binary, num) to (id, num, first, last): spans of repeated
+    bytes, which may overlap.  No two rows have the same id and num."""
     spark = small_batches(docs).sparkSession
     parts = parts or max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = 1 << max(4, (parts - 1).bit_length())
@@ -421,11 +426,11 @@ def repeated_spans(docs: DataFrame, parts: int | None = None, hot_least: int = H
     pieces = materialize(_runs(docs, bitmap, hot, parts), "suffix-runs")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, int, int]] = []
+        rows: list[tuple[int, int, int, int]] = []
 
         def packed():
-            columns = zip(*rows) if rows else [[]] * 3
-            got = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "first", "last"])
+            columns = zip(*rows) if rows else [[]] * 4
+            got = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "num", "first", "last"])
             rows.clear()
             return got
 
@@ -446,20 +451,38 @@ def repeated_spans(docs: DataFrame, parts: int | None = None, hot_least: int = H
         yield packed()
 
     runs = pieces.where(f"kind = {_RUN_ROW}").select("part", "blob").repartition(parts, "part").sortWithinPartitions("part")
-    merged = runs.mapInArrow(merge, "id long, first long, last long")
-    known = pieces.where(f"kind = {_SPAN_ROW}").select("id", "first", "last")
-    strings = pieces.where(f"kind = {_STRING_ROW}").select("hi", "lo", "id", "first")
-    low = strings.groupBy("hi", "lo").agg(F.min(F.struct("id", "first")).alias("m"))
-    late = strings.join(low, ["hi", "lo"]).where((F.col("id") != F.col("m.id")) | (F.col("first") != F.col("m.first")))
-    return merged.unionByName(known).unionByName(late.select("id", "first", (F.col("first") + SPAN).alias("last")))
+    merged = runs.mapInArrow(merge, "id long, num long, first long, last long")
+    known = pieces.where(f"kind = {_SPAN_ROW}").select("id", "num", "first", "last")
+    strings = pieces.where(f"kind = {_STRING_ROW}").select("hi", "lo", "id", "num", "first")
+    low = strings.groupBy("hi", "lo").agg(F.min(F.struct("id", "num", "first")).alias("m"))
+    late = strings.join(low, ["hi", "lo"]).where(F.struct("id", "num", "first") != F.col("m"))
+    return merged.unionByName(known).unionByName(late.select("id", "num", "first", (F.col("first") + SPAN).alias("last")))
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text as binary) to (id, text, num, doc_id): num is 0 where an id
+    is of one row, and numbers the rows of a repeated or absent one from 1."""
+    rows = rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text", "doc_id")
+    shared = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | (F.col("id") == LAST)).select("id")
+    shared = materialize(shared, "suffix-shared-ids")
+    if shared.isEmpty():
+        return rows.select("id", "text", F.lit(0).cast("long").alias("num"), "doc_id")
+    order = ["id", "absent", "digest"]
+    own = rows.join(shared, "id", "left_semi").select("*", F.col("doc_id").isNull().alias("absent"), F.sha2("text", 256).alias("digest"))
+    texts = own.groupBy(*order).agg(F.count(F.lit(1)).alias("n"))  # ranked without the texts themselves
+    before = F.sum("n").over(Window.partitionBy("id").orderBy("absent", "digest").rowsBetween(Window.unboundedPreceding, -1))
+    texts = texts.select(*order, F.coalesce(before, F.lit(0)).alias("before"))
+    copy = F.row_number().over(Window.partitionBy(*order).orderBy("digest"))
+    own = own.withColumn("copy", copy).join(texts, order).select("id", "text", (F.col("before") + F.col("copy")).alias("num"), "doc_id")
+    alone = rows.join(shared, "id", "left_anti").select("id", "text", F.lit(0).cast("long").alias("num"), "doc_id")
+    return alone.unionByName(materialize(own, "suffix-shared"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, hot_least: int = HOT_LEAST) -> DataFrame:
     """One row per document: doc_id, kept (bytes), n_bytes, n_removed, n_spans."""
-    own = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    texts = docs.select(own.alias("id"), F.encode(text_or_empty(text_col), "UTF-8").alias("text"))
-    spans = materialize(repeated_spans(texts, parts, hot_least), "suffix-spans")
-    by_doc = spans.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))  # of one document
+    texts = _ranked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_or_empty(text_col), "UTF-8").alias("text")))
+    spans = materialize(repeated_spans(texts.select("id", "text", "num"), parts, hot_least), "suffix-spans")
+    by_doc = spans.groupBy("id", "num").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))  # of one document
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -479,13 +502,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     sizes.append(len(raw))
                     removed.append(len(raw) - len(kept[-1]))
                     runs.append(n)
-                ids = [None if x == LAST else x for x in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(kept, pa.binary()), *[pa.array(x, pa.int64()) for x in (sizes, removed, runs)]],
+                    [part.column(0), pa.array(kept, pa.binary()), *[pa.array(x, pa.int64()) for x in (sizes, removed, runs)]],
                     names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"],
                 )
 
-    rows = texts.join(by_doc, "id", "left").select("id", "text", "spans")
+    rows = texts.join(by_doc, ["id", "num"], "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 

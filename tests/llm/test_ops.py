@@ -156,6 +156,21 @@ def test_suffix_dedup(odd, docs, hot, large, monkeypatch):
     assert suffix_dedup.remove_repeats(odd).count() == len(ODD)
 
 
+@pytest.mark.parametrize("hot,parts", [(20_000, 1), (20_000, 16), (2, 16)])
+def test_suffix_dedup_repeated_and_null_ids(spark, odd, hot, parts):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    a, b, c = word(300), word(300), word(300)
+    rows = [(1, a), (1, a), (1, b), (None, a), (None, c), (None, c), (None, word(500)), (None, word(40)), (None, word(40)), (2, b + c), (3, None), (3, word(200)), (suffix_dedup.LAST, c), (None, None)]
+    for df in (odd, spark.createDataFrame(rows, "doc_id long, text string")):
+        named = sorted(((i is None, i or 0, hashlib.sha256(t.encode()).digest(), t, i) for i, t in texts(df)), key=lambda x: x[:3])
+        kept = brute_repeats([(k, x[3]) for k, x in enumerate(named)])
+        want = collections.Counter((x[4], kept[k]) for k, x in enumerate(named))
+        for tasks in (1, 7):
+            got = suffix_dedup.remove_repeats(df.repartition(tasks), parts=parts, hot_least=hot).collect()
+            assert collections.Counter((r.doc_id, bytes(r.kept)) for r in got) == want
+
+
 def test_loser_tree_merges_and_knows_prefixes():
     rng = random.Random(3)
     for _ in range(50):
