@@ -318,6 +318,14 @@ def test_pii_secret_in_any_text(spark):
     assert got == {1: [(0, 18)], 2: [(0, 16)], 3: [(0, 17)], 4: [(0, 17)], 5: [], 6: [], 7: [(3, 26)]}
 
 
+def test_pii_iban_length_and_ssn_context(spark):
+    de = "DE89 3704 0044 0532 0130 00"
+    rows = [(1, de + " BIC COBADEFF"), (2, "DE89370400440532013000 2024"), (3, "PAY " + de + " GB82 WEST 1234 5698 7654 32 NOW"), (4, "to de89370400440532013000 today"), (5, "AT12 " + de), (6, "DE88 3704 0044 0532 0130 00"), (7, "DE89370400440532013000X")]
+    rows += [(8, "123-45-6789 (SSN)"), (9, "SSN 123-45-6789"), (10, "123-45-6789 and no more"), (11, "é BE68 5390 0754 7034 x")]
+    got = {r.doc_id: [(x["start"], x["end"]) for k in ("iban", "ssn") for x in r[k]] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [(0, 27)], 2: [(0, 22)], 3: [(4, 31), (32, 59)], 4: [(3, 25)], 5: [(5, 32)], 6: [], 7: [], 8: [(0, 11)], 9: [(4, 15)], 10: [], 11: [(2, 21)]}
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
