@@ -3,7 +3,11 @@
 P(grade <= k) = sigmoid(theta_k - w.x): one weight vector for all ordered
 thresholds.  x holds which words and word beginnings a text has.  The labels
 say only toxic or not, so toxic training texts are graded by how many features
-typical of toxic ones they have: below the median 1, from it on 2.
+typical of toxic ones they have: up to the median 1, above it 2.
+
+Features are chosen by a likelihood ratio, which holds for rare ones and few
+labels too, and the fit is regularised.  Training texts that are near copies of
+one another count once.
 
 Bounds (parameters): the model is fitted on at most LABELLED labelled documents,
 the first by a hash of the id, in one task, with at most FEATURES features.
@@ -31,9 +35,10 @@ from .common import read_table, release, releasing, small_batches, text_or_empty
 
 LABELLED = 8000
 FEATURES = 1024
-LEAST_DOCS = 4  # toxic training documents that a feature must be in
-LEAST_Z = 4.0  # standard errors by which a feature's log odds must differ from 0
-LEAST_ODDS = 1.0  # and by how much they must differ
+LEAST_DOCS = 2  # toxic training documents that a feature must be in
+LEAST_G = 10.0  # likelihood ratio (G squared) by which a feature must tell toxic texts from others
+DECAY = 5e-5  # of the weights, in the fit
+NEAR, HASHES, BAND = 0.8, 32, 4  # near copies among the training texts: Jaccard similarity of features, by MinHash bands
 CUT = 0.5  # toxic from this probability of a grade above 0
 BEGINNINGS = (4, 5)
 
@@ -54,7 +59,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, rounds: int = 1500, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, rounds: int = 1500, decay: float = DECAY) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by Adam on the mean cumulative-link loss.
     rows: indices of the features that each document has."""
     k = int(grades.max()) if len(grades) else 0
@@ -81,39 +86,56 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, rou
     return p[:n_features], np.cumsum(np.concatenate([[p[n_features]], np.exp(np.clip(p[n_features + 1 :], -10, 10))]))
 
 
+def first_of_near(feats: list[set[bytes]], toxic: list[int]) -> list[int]:
+    """Places of the texts that are no near copy (NEAR) of an earlier one with the
+    same label.  MinHash bands propose, the features themselves decide."""
+    rng = np.random.default_rng(1)
+    a, b = (rng.integers(1, 1 << 62, HASHES).astype(np.uint64) | np.uint64(1) for _ in range(2))
+    seen: dict[tuple, list[int]] = {}
+    keep = []
+    for j, f in enumerate(feats):
+        h = np.fromiter(map(zlib.crc32, f), np.uint64, len(f)) if f else np.zeros(1, np.uint64)
+        low = ((h[:, None] * a + b) >> np.uint64(32)).min(0)
+        keys = [(toxic[j], k, low[k : k + BAND].tobytes()) for k in range(0, HASHES, BAND)]
+        near = {i for key in keys for i in seen.get(key, ())}
+        if any(len(f & feats[i]) >= NEAR * len(f | feats[i]) for i in near):
+            continue
+        keep.append(j)
+        for key in keys:
+            seen.setdefault(key, []).append(j)
+    return keep
+
+
+def likelihood_ratio(a: int, n1: int, b: int, n0: int) -> float:
+    """G squared of a feature that a of n1 toxic and b of n0 other texts have."""
+    n, have = n1 + n0, a + b
+    cells = ((a, have * n1), (b, have * n0), (n1 - a, (n - have) * n1), (n0 - b, (n - have) * n0))
+    return 2 * sum(o * float(np.log(o * n / e)) for o, e in cells if o)
+
+
 def train(texts: list[str], toxic: list[int]) -> dict:
     """A model: weights by feature, and thresholds; without both classes, none."""
-    # Copies and near copies of a text are no further evidence: of texts that
-    # share their two smallest word hashes the first one counts.
-    first: dict[tuple, int] = {}
-    for j, t in enumerate(texts):
-        first.setdefault((toxic[j], *sorted(map(zlib.crc32, features(t)))[:2]), j)
-    texts, toxic = [texts[j] for j in first.values()], [toxic[j] for j in first.values()]
-    y = np.array(toxic, int)
+    feats = [features(t) for t in texts]
+    keep = first_of_near(feats, toxic)
+    feats, y = [feats[j] for j in keep], np.array([toxic[j] for j in keep], int)
     if not len(y) or y.min() == y.max():
         return {"weights": {}, "theta": []}
     # Only features of toxic texts are of use; those of the others are many.
     counts = (Counter(), Counter())
-    for t, label in zip(texts, toxic):
+    for f, label in zip(feats, y):
         if label:
-            counts[1].update(features(t))
+            counts[1].update(f)
     usual = {f for f, n in counts[1].items() if n >= LEAST_DOCS}
-    for t, label in zip(texts, toxic):
+    for f, label in zip(feats, y):
         if not label:
-            counts[0].update(features(t) & usual)
+            counts[0].update(f & usual)
     n1, n0 = int(y.sum()), int((1 - y).sum())
-    seen = sorted(usual)
-    odds = {f: np.log((counts[1][f] + 0.5) / (n1 + 1)) - np.log((counts[0][f] + 0.5) / (n0 + 1)) for f in seen}
-    z = {f: abs(odds[f]) / np.sqrt(1 / (counts[1][f] + 0.5) + 1 / (counts[0][f] + 0.5)) for f in seen}
-    chosen = sorted(sorted(f for f in seen if z[f] >= LEAST_Z and abs(odds[f]) >= LEAST_ODDS), key=lambda f: -z[f])[:FEATURES]
+    g = {f: likelihood_ratio(counts[1][f], n1, counts[0][f], n0) for f in usual if counts[1][f] * n0 > counts[0][f] * n1}
+    chosen = sorted((f for f in g if g[f] >= LEAST_G), key=lambda f: (-g[f], f))[:FEATURES]
     index = {f: j for j, f in enumerate(chosen)}
-    typical = {f for f in chosen if odds[f] > 2 and counts[1][f] >= 2 * LEAST_DOCS}
-    rows, typical_in = [], np.zeros(len(y))
-    for j, t in enumerate(texts):
-        have = features(t)
-        rows.append(np.array(sorted(index[f] for f in have if f in index), np.int64))
-        typical_in[j] = len(have & typical)
-    grades = y * (1 + (typical_in >= np.median(typical_in[y == 1])))
+    rows = [np.array(sorted(index[f] for f in have if f in index), np.int64) for have in feats]
+    n_typical = np.array([len(r) for r in rows])
+    grades = y * (1 + (n_typical > np.median(n_typical[y == 1])))
     if grades.max() == 2 and (grades == 1).sum() == 0:
         grades = y
     w, theta = fit_ordinal(rows, grades, len(chosen))
