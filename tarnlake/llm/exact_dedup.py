@@ -1,26 +1,32 @@
 """Exact dedup against immutable snapshots.
 
-Every snapshot of kept digests carries one static binary-fuse filter per
-bucket.  The digests of an incoming batch are grouped among themselves first,
-then screened by the filters; only positives meet the snapshot's exact bucket,
-where the normalised texts are compared byte by byte.
+write_snapshot() stores the distinct digests of a set of documents in buckets,
+one folder each, and one static binary-fuse filter per bucket; a snapshot is
+written once and never changed.  dedup_batch() groups the digests of an incoming
+batch among themselves, screens them by the filters of all snapshots, and reads
+only the buckets that positives hit; there normalised texts are compared byte by
+byte.
+
+exact_dedup() divides one table into a snapshot and a batch and merges both.
 
 Defined cases: a null text counts as empty; all empty texts are equal.  Rows
-with a null id are rows like any other, and rank after other ids in a tie.
-Repeated rows are members of their group.  An empty table gives an empty
-result.  Other columns are ignored, whatever their names.
+with a null id are rows like any other, and rank after other ids in a tie; the
+byte check finds their texts by digest.  Repeated rows are members of their
+group.  An empty table gives an empty snapshot and an empty result.  Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, materialize, read_table, small_batches, text_or_empty, texts_of
+from .common import BLANKS, fresh_path, materialize, read_table, small_batches, text_or_empty, texts_of
 
 BUCKET_KEYS = 100_000  # mean number of distinct digests in a bucket
 
@@ -137,74 +143,132 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    """One row per digest; the best row has the longest text, then the smallest id."""
+    """One row per digest; the best row has the longest text, then the smallest
+    id; rep is a member with an id, where there is one."""
     best = F.min(F.struct((-F.col("length")).alias("l"), F.col("id").isNull().alias("n"), F.col("id").alias("i")))
-    return rows.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("size"))
+    return rows.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("size"), F.min("id").alias("rep"))
 
 
 def _bucket(n: int) -> Column:
     return F.pmod(F.xxhash64("digest"), F.lit(n)).cast("int")
 
 
-def build_filters(groups: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, filter): one filter per bucket of a snapshot's distinct digests."""
+def build_filters(groups: DataFrame) -> DataFrame:
+    """(bucket, filter): one filter per bucket of (bucket, digest)."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "filter": [build_fuse(_key64(pdf["digest"]))]})
 
-    return groups.select("digest", _bucket(buckets).alias("bucket")).groupBy("bucket").applyInPandas(build, "bucket int, filter binary")
+    return groups.select("bucket", "digest").groupBy("bucket").applyInPandas(build, "bucket int, filter binary")
+
+
+GROUP = "digest binary, best struct<l:long,n:boolean,i:long>, size long, rep long"
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """A set of digests on disk: digests/bucket=<n>/ and filters/."""
+
+    path: str
+    buckets: int
+
+    def filters(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema("bucket int, filter binary").parquet(f"{self.path}/filters")
+
+    def groups(self, spark: SparkSession, buckets: list[int] | None = None) -> DataFrame:
+        """(digest, best, size, rep, bucket) of all buckets, or of some: only their folders are read."""
+        found = spark.read.schema(f"{GROUP}, bucket int").parquet(f"{self.path}/digests")
+        return found if buckets is None else found.where(F.col("bucket").isin(buckets)) if buckets else found.where("false")
 
 
-def screen(groups: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
-    """The incoming digests that a snapshot's filters do not rule out."""
+def write_snapshot(rows: DataFrame, path: str, buckets: int | None = None) -> Snapshot:
+    """The distinct digests of rows (digests()) as a snapshot at path."""
+    spark = rows.sparkSession
+    buckets = buckets or max(1, math.ceil(rows.count() / BUCKET_KEYS))
+    groups = _groups(rows).withColumn("bucket", _bucket(buckets))
+    groups.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/digests")
+    build_filters(Snapshot(path, buckets).groups(spark)).write.parquet(f"{path}/filters")
+    return Snapshot(path, buckets)
+
+
+def screen(groups: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """(bucket, digest) of the incoming digests that a snapshot's filters do not rule out."""
 
     def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return left.iloc[:0][["digest"]]
-        return left.loc[probe_fuse(bytes(right["filter"].iloc[0]), _key64(left["digest"])), ["digest"]]
+            return left.iloc[:0]
+        return left.loc[probe_fuse(bytes(right["filter"].iloc[0]), _key64(left["digest"]))]
 
-    incoming = groups.select("digest", _bucket(buckets).alias("bucket"))
-    return incoming.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(probe, "digest binary")
+    incoming = groups.select(_bucket(snapshot.buckets).alias("bucket"), "digest")
+    filters = snapshot.filters(groups.sparkSession)
+    return incoming.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(probe, "bucket int, digest binary")
 
 
-def match(docs: DataFrame, snapshot: DataFrame, batch: DataFrame, buckets: int, id_col: str, text_col: str) -> DataFrame:
-    """Digests that are in both, after the byte check: digest, best, size."""
-    positive = screen(batch, build_filters(snapshot, buckets), buckets)
-    pairs = materialize(
-        positive.join(batch, "digest").join(snapshot.select("digest", F.col("best").alias("best_s"), F.col("size").alias("size_s")), "digest"),
-        "dedup-positives",
-    )
-    wanted = pairs.select("digest", F.explode(F.array("best.i", "best_s.i")).alias("id")).where("id is not null")
+def _same_bytes(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(digest, same): whether the representatives' normalised texts are equal,
+    byte by byte; groups without any id are represented by all their rows."""
+    wanted = pairs.select("digest", F.explode(F.array("rep", "rep_s")).alias("id")).where("id is not null")
     texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     picked = texts_of(texts, wanted.select("id").distinct()).select("id", normalised(F.col("text")).alias("t"))
-    seen = wanted.join(picked, "id").where(F.unhex(F.sha2(F.encode("t", "UTF-8"), 256)) == F.col("digest"))
-    # Equal bytes: one distinct text among the two representatives of a digest.
-    same = seen.groupBy("digest").agg((F.count_distinct("t") == 1).alias("same"))
-    return (
-        pairs.join(same, "digest", "left")
-        .where(F.coalesce("same", F.lit(True)))
-        .select("digest", F.least("best", "best_s").alias("best_m"), (F.col("size") + F.col("size_s")).alias("size_m"))
-    )
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", in_snapshot: Column | None = None) -> DataFrame:
+    seen = wanted.join(picked, "id").where(F.unhex(F.sha2(F.encode("t", "UTF-8"), 256)) == F.col("digest")).select("digest", "t")
+    nameless = pairs.where("rep is null or rep_s is null").select("digest").distinct()
+    if not nameless.isEmpty():
+        rows = texts.where("id is null").select(digest(F.col("text")).alias("digest"), normalised(F.col("text")).alias("t"))
+        seen = seen.unionByName(rows.join(nameless, "digest", "left_semi"))
+    return seen.groupBy("digest").agg((F.count_distinct("t") == 1).alias("same"))
+
+
+def match(batch: DataFrame, snapshots: list[Snapshot], docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Digests of the batch's groups that a snapshot has too, after the byte
+    check: digest, best_m and size_m over all of them.  docs holds the texts of
+    both sides."""
+    spark, found = docs.sparkSession, None
+    for snapshot in snapshots:
+        positive = materialize(screen(batch, snapshot), "dedup-screened")
+        # A number per bucket of BUCKET_KEYS digests at most.
+        hit = [r["bucket"] for r in positive.select("bucket").distinct().collect()]
+        exact = snapshot.groups(spark, hit).select("digest", F.col("best").alias("best_s"), F.col("size").alias("size_s"), F.col("rep").alias("rep_s"))
+        pairs = positive.select("digest").join(batch, "digest").join(exact, "digest")
+        found = pairs if found is None else found.unionByName(pairs)
+    if found is None:
+        return spark.createDataFrame([], "digest binary, best_m struct<l:long,n:boolean,i:long>, size_m long")
+    pairs = materialize(found, "dedup-positives")
+    same = _same_bytes(pairs, docs, id_col, text_col).where("same").select("digest")
+    merged = pairs.join(same, "digest").groupBy("digest")
+    return merged.agg(F.min(F.least("best", "best_s")).alias("best_m"), (F.first("size") + F.sum("size_s")).alias("size_m"))
+
+
+def dedup_batch(docs: DataFrame, snapshots: list[Snapshot], known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document of a batch: id, keep_id, group_size, kept, digest,
+    over the batch and the snapshots.  known holds the texts behind the snapshots."""
+    rows = materialize(digests(docs, id_col, text_col), "dedup-digests")
+    batch = materialize(_groups(rows), "dedup-batch")
+    only = lambda df: df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
+    both = match(batch, snapshots, only(docs).unionByName(only(known)), id_col, text_col)
+    return _answer(rows, batch.join(both, "digest", "left"), ["digest"])
+
+
+def _answer(rows: DataFrame, ends: DataFrame, keys: list[str]) -> DataFrame:
+    ends = ends.select(*keys, F.coalesce("best_m", "best")["i"].alias("keep_id"), F.coalesce("size_m", "size").cast("long").alias("group_size"))
+    return rows.join(ends, keys).select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", in_snapshot: Column | None = None, buckets: int | None = None) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, digest.
 
     in_snapshot tells which rows form the immutable snapshot; the rest is the
     incoming batch.  By default a hash of the id deals each row to one of the
     two.  The result does not depend on the division."""
+    spark = docs.sparkSession
     if in_snapshot is None:
         in_snapshot = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
     rows = materialize(digests(docs, id_col, text_col).withColumn("old", F.coalesce(in_snapshot, F.lit(False))), "dedup-digests")
-    snapshot, batch = _groups(rows.where("old")), _groups(rows.where("not old"))
-    buckets = max(1, math.ceil(rows.count() / BUCKET_KEYS))
-    both = materialize(match(docs, snapshot, batch, buckets, id_col, text_col), "dedup-matched")
-    ends = snapshot.withColumn("old", F.lit(True)).unionByName(batch.withColumn("old", F.lit(False)))
-    ends = ends.join(both, "digest", "left").select(
-        "digest", "old", F.coalesce("best_m", "best")["i"].alias("keep_id"), F.coalesce("size_m", "size").cast("long").alias("group_size")
-    )
-    out = rows.join(ends, ["digest", "old"])
-    return out.select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+    snapshot = write_snapshot(rows.where("old"), fresh_path(spark, "dedup-snapshot"), buckets)
+    batch = materialize(_groups(rows.where("not old")), "dedup-batch")
+    both = materialize(match(batch, [snapshot], docs, id_col, text_col), "dedup-matched")
+    old = snapshot.groups(spark).select("digest", "best", "size", F.lit(True).alias("old"))
+    ends = old.unionByName(batch.select("digest", "best", "size", F.lit(False).alias("old")))
+    return _answer(rows, ends.join(both, "digest", "left"), ["digest", "old"])
 
 
 # --- queries --------------------------------------------------------------------
