@@ -1,22 +1,29 @@
 """WARC archives with an index.
 
-write_archive() writes gzip-per-record WARC files to a shared folder and, for
+write_archive() writes gzip-per-record WARC/1.1 files to a shared folder and, for
 every record, an index row: file, offset, length, url, digest.  read_records()
 takes any selection of index rows, sorts it by place, merges neighbouring byte
 ranges into one read each, and parses the records.
 
+A file begins with a warcinfo record, which the index leaves out.  A response
+record holds an HTTP response whose body is the payload.  Responses are written
+first and get random record ids; revisits, which have no body, are written then
+and name the record id of their response.
+
 Defined cases: a null payload is empty, a null url is written as an empty
 target; rows with a null id are written and read like others, but never become
 the target of a revisit while a row with an id has the same payload.  Rows that
-repeat both the id and the payload of a response are responses too.  Empty
-tables give an empty index.  Other columns are ignored.
+repeat both the id and the payload of a response are responses too; revisits name
+one of them.  Empty tables give an empty index.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,9 +35,13 @@ REVISIT_BYTES = 100  # equal payloads below this size are all written in full
 RANGE_GAP = 64 << 10  # a gap between two wanted records up to this is read through
 RANGE_MOST = 8 << 20  # bytes of one merged read
 FILE_BYTES = 256 << 20  # a task starts another file beyond this
+TASK_BYTES = 16 << 20  # of the archives, that a reading task takes
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-INDEX_SCHEMA = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
+INDEX_SCHEMA = "file string, offset long, length long, url string, digest string, page_id long, record_type string, record_id string, refers_to long, size long"
 RECORD_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+_INDEX_TYPES = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+_INDEX_NAMES = [x.split()[0] for x in INDEX_SCHEMA.split(", ")]
 
 
 def _filesystem(uri: str):
@@ -40,20 +51,28 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def _record(page_id, url, payload: bytes, size: int, digest: str, kind: str, refers_to) -> bytes:
-    head = [
-        "WARC/1.1",
-        f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        f"WARC-Target-URI: {' '.join((url or '').split())}",
-        f"WARC-Payload-Digest: sha256:{digest}",
-        f"X-Payload-Length: {size}",
-        f"Content-Length: {len(payload)}",
-    ]
-    if kind == "revisit":
-        head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        head.append(f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>")
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+def _id(name: str) -> str:
+    return f"<urn:uuid:{name}>"
+
+
+def _head(kind: str, record_id: str, date: str, lines: list[str], block: bytes) -> bytes:
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_id(record_id)}", f"WARC-Date: {date}", *lines, f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def _record(page_id, url, payload: bytes, size: int, digest: str, record_id: str, date: str, refers_to=None, target: str | None = None) -> bytes:
+    """A response, or a revisit of the record target (of page refers_to)."""
+    lines = [f"WARC-Target-URI: {' '.join((url or '').split())}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Length: {size}"]
+    if target is not None:
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_id(target)}", f"X-Refers-To-Page-ID: {'' if refers_to is None else refers_to}"]
+        return _head("revisit", record_id, date, lines, b"")
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    return _head("response", record_id, date, [*lines, "Content-Type: application/http; msgtype=response"], http + payload)
+
+
+def _warcinfo(name: str, date: str) -> bytes:
+    lines = [f"WARC-Filename: {name}", "Content-Type: application/warc-fields"]
+    return _head("warcinfo", str(uuid.uuid4()), date, lines, b"software: tarnlake\r\nformat: WARC File Format 1.1\r\n")
 
 
 def _parse(raw: bytes) -> dict:
@@ -64,16 +83,17 @@ def _parse(raw: bytes) -> dict:
         raise ValueError(f"no WARC record here: {lines[0][:40]!r}")
     f = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
     n = int(f["Content-Length"])
-    payload, tail = rest[:n], rest[n:]
-    digest, size = f["WARC-Payload-Digest"].removeprefix("sha256:"), int(f["X-Payload-Length"])
-    if tail != b"\r\n\r\n" or len(payload) != n:
+    block, tail = rest[:n], rest[n:]
+    if tail != b"\r\n\r\n" or len(block) != n:
         raise ValueError("a WARC record is cut off")
-    if f["WARC-Type"] == "response" and (size != n or hashlib.sha256(payload).hexdigest() != digest):
+    payload = block.partition(b"\r\n\r\n")[2]
+    digest, size = f["WARC-Payload-Digest"].removeprefix("sha256:"), int(f["X-Payload-Length"])
+    if f["WARC-Type"] == "response" and (size != len(payload) or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError("a WARC payload does not match its digest")
-    number = lambda x: int(y) if (y := f.get(x, "").removeprefix("<urn:page:").rstrip(">")) else None
+    number = lambda x: int(y) if (y := f.get(x, "")) else None
     return {
-        "page_id": number("WARC-Record-ID"), "url": f["WARC-Target-URI"], "record_type": f["WARC-Type"],
-        "refers_to": number("WARC-Refers-To"), "payload_bytes": size, "payload_digest": digest, "payload": payload,
+        "page_id": number("X-Page-ID"), "url": f["WARC-Target-URI"], "record_type": f["WARC-Type"],
+        "refers_to": number("X-Refers-To-Page-ID"), "payload_bytes": size, "payload_digest": digest, "payload": payload,
     }
 
 
@@ -91,55 +111,78 @@ def decide(pages: DataFrame, id_col: str, payload: Column) -> DataFrame:
     )
 
 
-def write_archive(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Writes one WARC record per row below root; returns the index, itself
-    written as Parquet.  A task that is run again writes files of other names;
-    the index only names those of the attempt that counts."""
-    payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
-    first = decide(pages, id_col, payload)
-    rows = small_batches(pages).select(
-        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"),
-        F.sha2(payload, 256).alias("digest"),
-    )
-    rows = rows.join(first, "digest", "left")
+def _writer(root: str, date: str, record: Callable[[dict, str], bytes | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes the records of rows to files of a task's own; gives their index rows.
+    Rows for which record() gives None have an index row without a file."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
         system, folder = _filesystem(root)
         system.create_dir(folder, recursive=True)
         out = name = None
         at = 0
         for batch in batches:
-            index = {k: [] for k in ("file", "offset", "length", "url", "digest", "page_id", "record_type")}
+            index: list[tuple] = []
             for r in batch.to_pylist():
-                size, data = len(r["payload"]), r["payload"]
-                again = size >= REVISIT_BYTES and r["first"] is not None and r["page_id"] != r["first"]
-                kind = "revisit" if again else "response"
-                raw = _record(r["page_id"], r["url"], b"" if again else data, size, r["digest"], kind, r["first"])
+                own = str(uuid.uuid4())
+                raw = record(r, own)
+                if raw is None:
+                    index.append((None, None, None, r["url"], r["digest"], r["page_id"], "revisit", None, r["first"], len(r["payload"])))
+                    continue
                 member = zlib.compress(raw, 4, wbits=31)
                 if out is None or at + len(member) > FILE_BYTES:
                     if out is not None:
                         out.close()
-                    name, at = f"pages-{uuid.uuid4().hex}.warc.gz", 0
+                    name = f"pages-{uuid.uuid4().hex}.warc.gz"
                     out = system.open_output_stream(f"{folder}/{name}", compression=None)
+                    first = zlib.compress(_warcinfo(name, date), 4, wbits=31)
+                    out.write(first)
+                    at = len(first)
                 out.write(member)
-                for k, v in zip(index, (f"{root}/{name}", at, len(member), r["url"], r["digest"], r["page_id"], kind)):
-                    index[k].append(v)
+                again = r.get("target") is not None
+                size = r["size"] if again else len(r["payload"])
+                index.append((f"{root}/{name}", at, len(member), r["url"], r["digest"], r["page_id"], "revisit" if again else "response", own, r["first"] if again else None, size))
                 at += len(member)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(index[k], t) for k, t in zip(index, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()))],
-                names=list(index),
-            )
+            columns = zip(*index) if index else [[]] * len(_INDEX_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _INDEX_TYPES)], names=_INDEX_NAMES)
         if out is not None:
             out.close()
 
-    return materialize(rows.mapInArrow(write, INDEX_SCHEMA), "warc-index")
+    return write
+
+
+def write_archive(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str | None = None) -> DataFrame:
+    """Writes one WARC record per row below root; returns the index, itself
+    written as Parquet.  A task that is run again writes files of other names;
+    the index only names those of the attempt that counts.  date: that of all
+    records, by default now."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
+    rows = small_batches(pages).select(
+        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"),
+        F.sha2(payload, 256).alias("digest"),
+    )
+    rows = rows.join(decide(pages, id_col, payload), "digest", "left")
+
+    def response(r: dict, own: str) -> bytes | None:
+        size = len(r["payload"])
+        if size >= REVISIT_BYTES and r["first"] is not None and r["page_id"] != r["first"]:
+            return None
+        return _record(r["page_id"], r["url"], r["payload"], size, r["digest"], own, date)
+
+    written = materialize(rows.mapInArrow(_writer(root, date, response), INDEX_SCHEMA), "warc-responses")
+    responses = written.where("file is not null")
+    # Revisits have no payload: what is shuffled here is index rows.
+    wanted = written.where("file is null").drop("file", "offset", "length", "record_type", "record_id").withColumnRenamed("refers_to", "first")
+    target = responses.where(F.col("size") >= REVISIT_BYTES).groupBy("digest", F.col("page_id").alias("first")).agg(F.min("record_id").alias("target"))
+    wanted = wanted.join(target, ["digest", "first"])
+    again = lambda r, own: _record(r["page_id"], r["url"], b"", r["size"], r["digest"], own, date, r["first"], r["target"])
+    return responses.unionByName(materialize(wanted.mapInArrow(_writer(root, date, again), INDEX_SCHEMA), "warc-revisits"))
 
 
-def read_records(selected: DataFrame, with_payload: bool = True, files_per_task: int = 1) -> DataFrame:
-    """The records of the selected index rows.  Rows are dealt by file and
-    by 64 MB stretch of it, sorted by offset within each task, and read in merged ranges."""
+def read_records(selected: DataFrame, with_payload: bool = True) -> DataFrame:
+    """The records of the selected index rows.  Rows are dealt by file and stretch
+    of it to as many tasks as their bytes need, sorted by offset within each
+    task, and read in merged ranges."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system = path = handle = None
@@ -182,8 +225,14 @@ def read_records(selected: DataFrame, with_payload: bool = True, files_per_task:
         if handle is not None:
             handle.close()
 
-    placed = selected.select("file", "offset", "length", F.floor(F.col("offset") / F.lit(64 << 20)).alias("stretch"))
-    placed = placed.repartition("file", "stretch").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    # Index rows are small and what they stand for is not: AQE would see the
+    # former only, so the number of tasks is set by the bytes to be read.
+    spark = selected.sparkSession
+    size = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, size // TASK_BYTES + 1)
+    stretch = max(1 << 20, min(TASK_BYTES, size // (4 * tasks) + 1))
+    placed = selected.select("file", "offset", "length", F.floor(F.col("offset") / F.lit(stretch)).alias("stretch"))
+    placed = placed.repartition(tasks, "file", "stretch").sortWithinPartitions("file", "offset").select("file", "offset", "length")
     return placed.mapInArrow(read, RECORD_SCHEMA)
 
 
