@@ -4,7 +4,9 @@ plan_mix() turns weights into word targets, targets into exact numbers of
 blocks (hash-permuted groups of a source's documents; an epoch draws each block
 once), and splits those numbers among output shards by a multivariate-
 hypergeometric tree: every node hands half of its blocks to the left, drawn
-without replacement over all sources, and the rest to the right.  A shard then
+without replacement over all sources, and the rest to the right; how many come
+of a source is one hypergeometric draw, by inversion from the mode on, so its
+cost grows with the standard deviation and not with the blocks.  A shard then
 takes the next blocks of each source's permuted sequence, so draws are
 disjoint, and orders its documents by a hash of its own.  DataFrame functions
 only; everything random is a hash of the seed, so reruns agree.
@@ -22,6 +24,8 @@ taken together.  An empty table gives an empty mix.  Extra columns are carried.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +35,9 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 BLOCK_WORDS = 1 << 20  # mean words of a block at most
 BLOCK_DOCS = 512  # mean documents of a block at most
-SHARDS = 16  # a power of two
+SHARDS = 16  # at least; a power of two
+SHARD_WORDS = 1 << 28  # words of a shard at most, on average
+SLICES = 10  # bits of a hash by which long orders are cut into slices
 TRIES = 32
 SEED = 7
 
@@ -60,24 +66,71 @@ def _block(idx: Column, blocks: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), idx, F.col("id"), F.col("size")), blocks)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once per row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+_EXACT = [0.0]  # ln n! of small n
+for _n in range(1, 16):
+    _EXACT.append(_EXACT[-1] + math.log(_n))
+
+
+def _ln_factorial(n: Column) -> Column:
+    """By table below 16, by Stirling's series from there on."""
+    x = n.cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(x * (2 * math.pi)) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(n < 16, F.element_at(F.array(*[F.lit(v) for v in _EXACT]), n.cast("int") + 1)).otherwise(series)
+
+
+def _ln_choose(n: Column, k: Column) -> Column:
+    return _ln_factorial(n) - _ln_factorial(k) - _ln_factorial(n - k)
+
+
+def hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Column:
+    """How many of draws out of total are among the good ones, for a uniform u:
+    probabilities are taken off u from the mode on, upwards and downwards in turn,
+    over ten standard deviations."""
+
+    def walk(c: Column) -> Column:
+        n, k, d = c["n"], c["k"], c["d"]
+        mode = F.floor((d + 1).cast("double") * (k + 1) / (n + 2)).cast("long")
+        mode = F.greatest(mode, F.lit(0).cast("long"), d - (n - k))
+        mode = F.least(mode, d, k)
+        share = k.cast("double") / n
+        spread = F.sqrt(d * share * (1 - share) * (n - d) / F.greatest(n - 1, F.lit(1)))
+        steps = F.least(F.least(d, k).cast("double"), F.ceil(10 * spread) + 10).cast("int")
+        p = F.exp(_ln_choose(k, mode) + _ln_choose(n - k, d - mode) - _ln_choose(n, d))
+        state = lambda left, up, pu, dn, pd, got: F.struct(
+            left.alias("left"), up.cast("long").alias("up"), pu.alias("pu"), dn.cast("long").alias("dn"), pd.alias("pd"), got.cast("long").alias("got")
+        )
+        start = state(c["u"] - p, mode, p, mode, p, F.when(c["u"] < p, mode))
+
+        def step(a: Column, _: Column) -> Column:
+            up, dn = a["up"].cast("double"), a["dn"].cast("double")
+            pu = a["pu"] * (k - up) * (d - up) / ((up + 1) * (n - k - d + up + 1))
+            pd = a["pd"] * dn * (n - k - d + dn) / ((k - dn + 1) * (d - dn + 1))
+            got = F.coalesce(a["got"], F.when(a["left"] < pu, a["up"] + 1), F.when(a["left"] < pu + pd, a["dn"] - 1))
+            return state(a["left"] - pu - pd, a["up"] + 1, pu, a["dn"] - 1, pd, got)
+
+        walked = F.aggregate(F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>")), start, step, lambda a: a["got"])
+        return F.coalesce(walked, mode)
+
+    given = F.struct(total.cast("long").alias("n"), good.cast("long").alias("k"), draws.cast("long").alias("d"), u.cast("double").alias("u"))
+    certain = F.when((draws == 0) | (good == 0), F.lit(0).cast("long")).when(good == total, draws.cast("long"))
+    return F.coalesce(certain, _let(given, walk))
+
+
 def _split(node: Column, quotas: Column, seed: int) -> Column:
-    """How many blocks of each source go left: selection sampling, one step per
-    block, of half of a node's blocks without replacement."""
+    """How many blocks of each source go left: of half of a node's blocks without
+    replacement, source by source what the ones before have left open."""
     total = F.aggregate(quotas, F.lit(0).cast("long"), lambda a, q: a + q)
     start = F.struct(F.floor(total / 2).cast("long").alias("need"), total.alias("left"), F.array().cast("array<long>").alias("got"))
 
-    def draw(a: Column, _: Column) -> Column:
-        u = F.pmod(F.xxhash64(F.lit(seed), node, a["left"]), F.lit(1 << 53)) / F.lit(float(1 << 53))
-        hit = F.when(u * a["left"] < a["need"], F.lit(1)).otherwise(F.lit(0)).cast("long")
-        return F.struct((a["need"] - hit).alias("need"), (a["left"] - 1).alias("left"), (a["n"] + hit).alias("n"))
-
     def source(a: Column, q: Column) -> Column:
-        steps = F.when(q > 0, F.sequence(F.lit(1).cast("long"), q)).otherwise(F.array().cast("array<long>"))
-        first = F.struct(a["need"].alias("need"), a["left"].alias("left"), F.lit(0).cast("long").alias("n"))
-        done = F.aggregate(steps, first, draw)
-        return F.element_at(
-            F.transform(F.array(done), lambda d: F.struct(d["need"].alias("need"), d["left"].alias("left"), F.array_append(a["got"], d["n"]).alias("got"))), 1
-        )
+        u = F.pmod(F.xxhash64(F.lit(seed), node, F.size(a["got"])), F.lit(1 << 53)) / F.lit(float(1 << 53))
+        taken = hypergeometric(a["left"], q, a["need"], u)
+        return _let(taken, lambda x: F.struct((a["need"] - x).alias("need"), (a["left"] - q).alias("left"), F.array_append(a["got"], x).alias("got")))
 
     return F.aggregate(quotas, start, source)["got"]
 
@@ -96,6 +149,8 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> D
         tree = left.select(F.posexplode(F.array(F.col("go"), rest)).alias("side", "quotas"), "node", "ids")
         tree = tree.select((F.col("node") * 2 + F.col("side")).alias("node"), "quotas", "ids")
         level *= 2
+        if level == 64:
+            tree = tree.repartition("node")
     leaf = tree.select(F.col("node").alias("shard"), F.explode(F.arrays_zip("ids", "quotas")).alias("z"))
     leaf = leaf.select("shard", F.col("z.ids").alias("idx"), F.col("z.quotas").alias("quota"))
     until = F.sum("quota").over(Window.partitionBy("idx").orderBy("shard"))
@@ -125,31 +180,49 @@ def _fill(items: Column, room: Column) -> Column:
     return F.aggregate(items, start, step, nearest)
 
 
-def plan_mix(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _ordered(blocks: DataFrame, keys: list[str], h: Column) -> DataFrame:
+    """blocks with rank and before (the words before) in the order of a hash h,
+    within keys.  The order is cut into slices of the hash, so that no task holds
+    all blocks of a source."""
+    cut = blocks.withColumn("_h", h).withColumn("_slice", F.shiftright("_h", 64 - SLICES))
+    sums = cut.groupBy(*keys, "_slice").agg(F.sum("words").alias("_w"), F.count(F.lit(1)).alias("_n"))
+    ahead = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    sums = sums.select(*keys, "_slice", F.coalesce(F.sum("_w").over(ahead), zero).alias("_w"), F.coalesce(F.sum("_n").over(ahead), zero).alias("_n"))
+    within = Window.partitionBy(*keys, "_slice").orderBy("_h", "block")
+    cut = cut.withColumn("before", F.sum("words").over(within) - F.col("words")).withColumn("rank", F.row_number().over(within) - 1)
+    cut = cut.join(sums, [*keys, "_slice"])
+    return cut.withColumns({"before": F.col("before") + F.col("_w"), "rank": F.col("rank") + F.col("_n")}).drop("_h", "_slice", "_w", "_n")
+
+
+def plan_mix(rows: DataFrame, shards: int | None = None, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """rows: id, source, size.  Returns
     sources: source, idx, source_size, target, blocks;
     draws: idx, block, epoch, shard, part (true: only what picks names);
-    picks: idx, block, id, size."""
+    picks: idx, block, id, size.
+    shards: by default as many as SHARD_WORDS asks for, SHARDS at least."""
     s = targets(rows, weights)
     size = F.col("source_size")
     s = s.withColumn("blocks", F.greatest(F.ceil(F.col("n_docs") / BLOCK_DOCS), F.ceil(size / BLOCK_WORDS)).cast("long"))
     s = s.withColumn("epochs", F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0).cast("long"))
     sources = materialize(s.withColumn("rest", F.col("target") - F.col("epochs") * size), "mix-sources")
+    if shards is None:
+        words = sources.agg(F.sum("source_size")).first()[0] or 0
+        shards = max(SHARDS, 1 << (-(-words // SHARD_WORDS) - 1).bit_length())
     dealt = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).select("id", "size", "idx", "blocks", "epochs", "rest")
     dealt = dealt.withColumn("block", _block(F.col("idx"), F.col("blocks"), seed))
     # One row per block that has documents.
     blocks = dealt.groupBy("idx", "block").agg(F.sum("size").alias("words"), F.first("epochs").alias("epochs"), F.first("rest").alias("rest"))
-    by_hash = Window.partitionBy("idx").orderBy(F.xxhash64(F.lit(seed), F.lit("last"), "idx", "block"), "block")
-    last = blocks.withColumn("until", F.sum("words").over(by_hash)).withColumn("rank", F.row_number().over(by_hash) - 1)
-    last = last.withColumn("before", F.col("until") - F.col("words")).where("words > 0 and before < rest")
-    last = last.withColumn("part", F.col("until") > F.col("rest"))
+    blocks = materialize(blocks, "mix-blocks")
+    last = _ordered(blocks, ["idx"], F.xxhash64(F.lit(seed), F.lit("last"), "idx", "block")).where("words > 0 and before < rest")
+    last = last.withColumn("part", F.col("before") + F.col("words") > F.col("rest"))
     counted = blocks.groupBy("idx").agg(F.count(F.lit(1)).alias("n"))
     full = blocks.where("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
-    in_epoch = Window.partitionBy("idx", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "idx", "block"), "block")
-    full = full.withColumn("rank", F.row_number().over(in_epoch) - 1).withColumn("part", F.lit(False))
-    drawn = full.select("idx", "block", "epoch", "rank", "part").unionByName(
-        last.select("idx", "block", F.col("epochs").alias("epoch"), "rank", "part")
-    )
+    full = _ordered(full, ["idx", "epoch"], F.xxhash64(F.lit(seed), "epoch", "idx", "block")).withColumn("part", F.lit(False))
+    # The blocks of the last epoch are numbered anew: some of its order may have no words.
+    left = last.select("idx", "block", "words", F.col("epochs").alias("epoch"), "part")
+    left = _ordered(left, ["idx"], F.xxhash64(F.lit(seed), F.lit("last"), "idx", "block"))
+    drawn = full.select("idx", "block", "epoch", "rank", "part").unionByName(left.select("idx", "block", "epoch", "rank", "part"))
     drawn = drawn.join(counted, "idx").withColumn("rank", F.col("epoch") * F.col("n") + F.col("rank"))
     drawn = materialize(drawn.select("idx", "block", "epoch", "rank", "part"), "mix-draws")
     shares = split_quotas(drawn.groupBy("idx").agg(F.count(F.lit(1)).alias("quota")), shards, seed)
@@ -185,12 +258,16 @@ def _dealt(rows: DataFrame, plan: tuple[DataFrame, DataFrame, DataFrame], seed:
     return d.withColumn("drawn", mine).drop("picked", "blocks", "block", "idx")
 
 
+def _place(seed: int, shard: Column, epoch: Column) -> Column:
+    return F.xxhash64(F.lit(seed), shard, epoch, F.col("id"), F.col("size"))
+
+
 def mix(docs: DataFrame, plan: tuple[DataFrame, DataFrame, DataFrame], seed: int = SEED) -> DataFrame:
     """docs (id, source, size and any columns) as the mix takes them: one row per
     draw with epoch, shard and place, the order within the shard."""
     d = _dealt(docs, plan, seed).withColumn("x", F.explode("drawn"))
     d = d.withColumns({"epoch": F.col("x.epoch"), "shard": F.col("x.shard")})
-    return d.withColumn("place", F.xxhash64(F.lit(seed), "shard", "epoch", "id", "size")).drop("x", "drawn", "source_size", "target")
+    return d.withColumn("place", _place(seed, F.col("shard"), F.col("epoch"))).drop("x", "drawn", "source_size", "target")
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -198,9 +275,17 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shards: of each time the document is taken epoch, shard and place in the
+    shard's order, as epoch:shard:place, comma-joined."""
     rows = materialize(sizes(read_table(spark, sf_dir, "documents")), "mix-sizes")
     taken = F.size("drawn") * F.col("size")
-    return _dealt(rows, plan_mix(rows), SEED).select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    where = F.transform(
+        F.array_sort("drawn"),
+        lambda x: F.concat_ws(":", x["epoch"].cast("string"), x["shard"].cast("string"), _place(SEED, x["shard"], x["epoch"]).cast("string")),
+    )
+    return _dealt(rows, plan_mix(rows), SEED).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", taken.cast("long").alias("taken"), F.array_join(where, ",").alias("shards")
+    )
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
