@@ -8,7 +8,10 @@ emptiest on, cutting pieces, and the last one is cut at powers of two, which
 need no padding.
 
 A task packs only the rows it reads, so packing needs no shuffle; a window is
-identified by its task's first document, the task and a counter.
+identified by its task's number and a counter.  Input of many small tasks is read
+by fewer, of LEAST_DOCS documents or more, so that few windows are emptied; column
+rule tells which pieces were cut at window length (full), placed by the rule
+(sum_of_squares) or moved at the end of a task (emptied).
 
 Defined cases: a null text is empty and consists of the end id alone.  Rows
 with a null id or that repeat are packed as documents of their own.  Empty
@@ -30,9 +33,10 @@ from .common import read_table, releasing, small_batches, text_or_empty
 WINDOW = 4096
 END_ID = 2
 STAGE_CACHE_WORDS = 150_000
+LEAST_DOCS = 4096  # documents of a task, on average
 CACHE_WORDS = 1_500_000  # words whose ids a worker remembers; a full cache keeps the short ones
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, rule string"
 
 
 def tokenizer_path() -> str:
@@ -177,12 +181,13 @@ def _powers(n: int) -> list[int]:
     return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
 
-def close_open(pieces: dict[int, list[list[int]]], fill: dict[int, int], packer: SumOfSquares) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, length, window, offset) of the pieces in open windows,
-    after the emptiest have been poured into the fullest."""
+def close_open(pieces: dict[int, list[list[int]]], fill: dict[int, int], packer: SumOfSquares) -> list[tuple[int, int, int, int, int, bool]]:
+    """(document, start, length, window, offset, moved) of the pieces in open
+    windows, after the emptiest have been poured into the fullest."""
     order = sorted(fill, key=lambda w: (-fill[w], w))
     out, i, j = [], 0, len(order) - 1
-    place = lambda doc, start, n, w, off: out.append((doc, start, n, w, off)) if n else None
+    was = {p[0]: (w, p[2]) for w in pieces for p in pieces[w]}  # window and length by the rule
+    place = lambda doc, start, n, w, off: out.append((doc, start, n, w, off, was[doc] != (w, n))) if n else None
     for w in order:
         fill[w] = sum(p[2] for p in pieces[w])
     while i < j:
@@ -224,7 +229,7 @@ def close_open(pieces: dict[int, list[list[int]]], fill: dict[int, int], packer:
     return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, cache_words: int = CACHE_WORDS, give_back: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, cache_words: int = CACHE_WORDS, give_back: bool = False, least_docs: int = LEAST_DOCS) -> DataFrame:
     """One row per piece; columns as in SCHEMA.  give_back: workers return unused
     memory at the end of each task, for some CPU time."""
     path = tokenizer or tokenizer_path()
@@ -240,11 +245,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         rows: list[tuple] = []
         number = 0
 
-        def emit(doc, start, data, total, w, off):
-            rows.append((doc, start, len(data) // 4, zlib.crc32(data), total, base + w, off))
+        def emit(doc, start, data, total, w, off, rule):
+            rows.append((doc, start, len(data) // 4, zlib.crc32(data), total, base + w, off, rule))
 
         def flush():
-            got = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(names))], names=names)
+            kinds = [pa.int64()] * (len(names) - 1) + [pa.string()]
+            got = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names=names)
             rows.clear()
             return got
 
@@ -256,7 +262,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                     total = len(data) // 4
                     start = 0
                     while total - start >= window:
-                        emit(doc, start, data[4 * start : 4 * (start + window)], total, packer.new(), 0)
+                        emit(doc, start, data[4 * start : 4 * (start + window)], total, packer.new(), 0, "full")
                         start += window
                     if start < total:
                         n = total - start
@@ -267,17 +273,20 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                             off = 0
                             for d, s, m in held.pop(w):
                                 name, whole, first, own = tails.pop(d)
-                                emit(name, s, own[4 * (s - first) : 4 * (s - first + m)], whole, w, off)
+                                emit(name, s, own[4 * (s - first) : 4 * (s - first + m)], whole, w, off, "sum_of_squares")
                                 off += m
                         number += 1
                 if len(rows) > 4000:
                     yield flush()
-        for d, s, m, w, off in close_open(held, packer.fill, packer):
+        for d, s, m, w, off, moved in close_open(held, packer.fill, packer):
             name, whole, first, own = tails[d]
-            emit(name, s, own[4 * (s - first) : 4 * (s - first + m)], whole, w, off)
+            emit(name, s, own[4 * (s - first) : 4 * (s - first + m)], whole, w, off, "emptied" if moved else "sum_of_squares")
         yield flush()
 
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    tasks = max(1, docs.count() // least_docs)  # read from the footers of Parquet files
+    if rows.rdd.getNumPartitions() > tasks:
+        rows = rows.coalesce(tasks)
     return rows.mapInArrow(releasing(run) if give_back else run, SCHEMA)
 
 
