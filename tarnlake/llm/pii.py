@@ -156,4 +156,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size(k.name).cast("long").alias(f"n_{k.name}") for k in base],
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(list(KINDS)).alias("spans"),
+        F.array_join(F.concat(*[F.transform(F.col(k.name), lambda x: F.round(x["score"], 2).cast("string")) for k in KINDS]), ",").alias("scores"),
     )
