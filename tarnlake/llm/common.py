@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -19,23 +20,48 @@ BLANKS = " \t\n\x0b\f\r"
 BLANK_RE = r"[\x20\x09-\x0D]+"
 
 
+_MADE: list[str] = []  # folders of this process below the shared one, oldest first
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one of our own where the setting is absent (tests only)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where it
+    is unset, a local master (tests, one machine) gets a temporary one of our own;
+    on a cluster that is an error, as executors would write to their own disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tarnlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, *kept: str) -> Iterator[None]:
+    """Removes at its end the folders that operators made within it, but for kept
+    ones: what they served must have been written by then."""
+    began = len(_MADE)
+    yield
+    for path in _MADE[began:]:
+        if path not in kept:
+            remove_path(spark, path)
+    _MADE[began:] = [path for path in _MADE[began:] if path in kept]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage is
-    cut, later stages survive a lost executor, and sizes are known to AQE."""
+    cut, later stages survive a lost executor, and sizes are known to AQE.  The
+    folder stays until the scratch() around the call ends, or for good."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -55,19 +81,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, after bounding the rows of an Arrow batch of its session: whole texts
-    go to Python, and some are very long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    """df, after bounding rows and bytes of an Arrow batch of its session: whole
+    texts go to Python, and some are very long.  Plans are made when a result is
+    used, so the bounds stay in the session; smaller ones of its own hold."""
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = _bytes(conf.get(f"spark.sql.execution.arrow.{key}"))
+        if now <= 0 or now > most:
+            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     return df
 
 
+def _bytes(setting: str) -> int:
+    """A number of a setting, which may have a unit."""
+    digits = setting.strip().lower().rstrip("bkmgtp")
+    unit = setting.strip().lower()[len(digits) :].rstrip("b")
+    return int(digits) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}[unit]
+
+
 Batches = Iterator[pa.RecordBatch]
 
 
