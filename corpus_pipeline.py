@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlake.llm.common import fresh_path
+from tarnlake.llm.common import fresh_path, remove_path, scratch
 from tarnlake.llm.exact_dedup import dedup_stage
 from tarnlake.llm.jaccard_join import near_duplicate_stage
 from tarnlake.llm.mixing import mix_stage
@@ -33,9 +33,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """What a stage made on its way goes once its result is written, and that
+    result once the next stage's is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark, path):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_path(spark, before)
+        before = path
     return docs
