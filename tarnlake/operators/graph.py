@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LABEL = "rdfs:label"
+from ..functions.similarity import uri_text
+
+LABELS = ("rdfs:label", "http://www.w3.org/2000/01/rdf-schema#label")
 
 
 def edges(kg: DataFrame) -> DataFrame:
@@ -37,23 +39,44 @@ def exists(uris: DataFrame, kg: DataFrame) -> DataFrame:
 
 
 def labels(kg: DataFrame) -> DataFrame:
-    return kg.where(F.col("p") == LABEL).select(F.col("s").alias("uri"), F.col("o").alias("label"))
+    return kg.where(F.col("p").isin(*LABELS)).select(F.col("s").alias("uri"), F.col("o").alias("label"))
+
+
+def documents(kg: DataFrame, per_triple: bool = False) -> DataFrame:
+    """(id, text) for keyword search: the words of a subject's uri after its last
+    slash; one document per subject, or per triple."""
+    found = kg.select("s") if per_triple else kg.select("s").distinct()
+    return found.select(F.col("s").alias("id"), uri_text(F.col("s")).alias("text"))
 
 
 def subgraph(uris: DataFrame, kg: DataFrame) -> DataFrame:
-    """(uri, label, neighbours) of the given entities."""
+    """(uri, label, neighbours) of the given entities: how many they point to."""
     near = edges(kg).groupBy(F.col("s").alias("uri")).agg(F.count_distinct("o").alias("neighbours"))
     return uris.join(labels(kg), "uri", "left").join(near, "uri", "left").select("uri", "label", F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
 
 
-def personalised_pagerank(seeds: DataFrame, links: DataFrame, rounds: int = 3, damping: float = 0.85, least: float = 1e-6) -> DataFrame:
-    """(node, mass): expected particles after so many rounds.  seeds (node, weight), links (a, b)."""
+def neighbourhood(uris: DataFrame, kg: DataFrame) -> DataFrame:
+    """(uri, p, o, label): the edges of the given entities and the labels of their ends."""
+    named = labels(kg).withColumnRenamed("uri", "o")
+    return edges(kg).join(uris.select(F.col("uri").alias("s")).distinct(), "s").join(named, "o", "left").select(F.col("s").alias("uri"), "p", "o", "label")
+
+
+def personalised_pagerank(
+    seeds: DataFrame, links: DataFrame, rounds: int = 3, damping: float = 0.85, least: float = 1e-6, particles: float = 1.0, k: int | None = None, among: DataFrame | None = None
+) -> DataFrame:
+    """(node, mass): expected particles after so many rounds, out of particles.
+    seeds (node, weight), links (a, b).  A node passes its mass on while it has
+    least or more.  among (node): only these are returned; k: only the best k."""
     total = seeds.agg(F.sum("weight").alias("total"))
-    start = seeds.join(F.broadcast(total)).select("node", (F.col("weight") / F.col("total")).alias("mass"))
+    start = seeds.join(total).select("node", (F.lit(particles) * F.col("weight") / F.col("total")).alias("mass"))
     out = links.groupBy("a").agg(F.count(F.lit(1)).alias("deg"))
     step = links.join(out, "a").select("a", "b", (F.lit(damping) / F.col("deg")).alias("share"))
     mass, walking = start, start
     for _ in range(rounds):
-        walking = walking.where(F.col("mass") >= least).join(step, walking["node"] == step["a"]).groupBy(F.col("b").alias("node")).agg(F.sum(F.col("mass") * F.col("share")).alias("mass"))
+        passed = walking.where(F.col("mass") >= least).join(step, walking["node"] == step["a"])
+        walking = passed.groupBy(F.col("b").alias("node")).agg(F.sum(F.col("mass") * F.col("share")).alias("mass"))
         mass = mass.unionByName(walking)
-    return mass.groupBy("node").agg(F.sum("mass").alias("mass"))
+    found = mass.groupBy("node").agg(F.sum("mass").alias("mass"))
+    if among is not None:
+        found = found.join(among.select("node").distinct(), "node", "left_semi")
+    return found if k is None else found.orderBy(F.desc(F.round("mass", 9)), "node").limit(k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TYPE = "rdf:type"
+TYPES = ("rdf:type", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type")
 
 
 def first_mappings(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,7 +30,7 @@ def disallowed(o: Column) -> Column:
 
 
 def entity_types(kg: DataFrame) -> DataFrame:
-    return kg.where((F.col("p") == TYPE) & ~disallowed(F.col("o"))).groupBy(F.col("s").alias("uri")).agg(F.array_sort(F.collect_set("o")).alias("types"))
+    return kg.where(F.col("p").isin(*TYPES) & ~disallowed(F.col("o"))).groupBy(F.col("s").alias("uri")).agg(F.array_sort(F.collect_set("o")).alias("types"))
 
 
 def entity_predicates(kg: DataFrame) -> DataFrame:
@@ -55,3 +55,20 @@ def type_idf(profile: DataFrame) -> DataFrame:
     """log2(entities / entities of the type)."""
     n = profile.agg(F.count(F.lit(1)).alias("n"))
     return profile.select(F.explode("types").alias("type")).groupBy("type").agg(F.count(F.lit(1)).alias("k")).join(n).select("type", F.log2(F.col("n") / F.col("k")).alias("idf"))
+
+
+def postings(mention: DataFrame) -> DataFrame:
+    """(uri, table_id, col_idx, n): mentions without rows."""
+    return mention.groupBy("uri", "table_id", "col_idx").agg(F.count(F.lit(1)).alias("n"))
+
+
+def linked_patterns(mention: DataFrame) -> DataFrame:
+    """(table_id, cols, n): sets of linked columns, and how many rows of a table have them."""
+    rows = mention.groupBy("table_id", "row_idx").agg(F.array_sort(F.collect_set("col_idx")).alias("cols"))
+    return rows.groupBy("table_id", "cols").agg(F.count(F.lit(1)).alias("n"))
+
+
+def type_weights(profile: DataFrame, weights: DataFrame) -> DataFrame:
+    """(uri, type_weight): the sum of the idf of an entity's types, those below 0 left out."""
+    each = profile.select("uri", F.explode("types").alias("type")).join(weights, "type")
+    return each.groupBy("uri").agg(F.sum(F.greatest("idf", F.lit(0.0))).alias("type_weight"))

@@ -28,13 +28,43 @@ def entity_count(mention: DataFrame) -> DataFrame:
     return mention.groupBy("uri").agg(F.count_distinct("table_id").alias("tables"))
 
 
+def _listed(counts: DataFrame, place: str, name: str) -> DataFrame:
+    """(table_id, place, k) to (table_id, name): 'place:k' in order, comma-joined."""
+    word = lambda x: F.concat_ws(":", x[place].cast("string"), x["k"].cast("string"))
+    ordered = F.array_sort(F.collect_list(F.struct(place, "k")))
+    return counts.groupBy("table_id").agg(F.array_join(F.transform(ordered, word), ",").alias(name))
+
+
 def table_profile(cells: DataFrame, mention: DataFrame) -> DataFrame:
-    shape = cells.groupBy("table_id").agg(F.count_distinct("row_idx").alias("n_rows"), F.count_distinct("col_idx").alias("n_cols"), F.count(F.lit(1)).alias("n_cells"))
-    m = mention.groupBy("table_id").agg(F.count_distinct("uri").alias("entities"), F.count(F.lit(1)).alias("mapped_cells"), F.count_distinct("row_idx").alias("mapped_rows"))
-    per = mention.groupBy("table_id", "col_idx").agg(F.count(F.lit(1)).alias("k"))
-    per = per.groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "k"))), lambda x: F.concat_ws(":", x["col_idx"].cast("string"), x["k"].cast("string"))), ",").alias("per_column"))
+    """Per table: shape, distinct entities, linked cells and rows, and linked cells per column."""
+    shape = cells.groupBy("table_id").agg(
+        F.count_distinct("row_idx").alias("n_rows"), F.count_distinct("col_idx").alias("n_cols"), F.count(F.lit(1)).alias("n_cells")
+    )
+    m = mention.groupBy("table_id").agg(
+        F.count_distinct("uri").alias("entities"), F.count(F.lit(1)).alias("mapped_cells"), F.count_distinct("row_idx").alias("mapped_rows")
+    )
+    per = _listed(mention.groupBy("table_id", "col_idx").agg(F.count(F.lit(1)).alias("k")), "col_idx", "per_column")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return shape.join(m, "table_id", "left").join(per, "table_id", "left").select("table_id", "n_rows", "n_cols", "n_cells", zero("entities"), zero("mapped_cells"), zero("mapped_rows"), F.coalesce("per_column", F.lit("")).alias("per_column"))
+    return shape.join(m, "table_id", "left").join(per, "table_id", "left").select(
+        "table_id", "n_rows", "n_cols", "n_cells", zero("entities"), zero("mapped_cells"), zero("mapped_rows"), F.coalesce("per_column", F.lit("")).alias("per_column")
+    )
+
+
+def entities_per_row(cells: DataFrame, mention: DataFrame) -> DataFrame:
+    """(table_id, row_idx, entities): linked cells of every row, 0 where there are none."""
+    linked = mention.groupBy("table_id", "row_idx").agg(F.count(F.lit(1)).alias("k"))
+    rows = cells.select("table_id", "row_idx").distinct()
+    return rows.join(linked, ["table_id", "row_idx"], "left").select("table_id", "row_idx", F.coalesce("k", F.lit(0)).alias("entities"))
+
+
+def write_profiles(profiles: DataFrame, path: str) -> None:
+    """One JSON object per table."""
+    profiles.write.mode("overwrite").json(path)
+
+
+def distinct_elements(profile: DataFrame, column: str) -> DataFrame:
+    """(element): all types or all predicates of the lake."""
+    return profile.select(F.explode(column).alias("element")).distinct()
 
 
 def usage(log: DataFrame) -> DataFrame:
