@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 THING = "http://www.w3.org/2002/07/owl#Thing"
 TYPE, LABEL = "rdf:type", "rdfs:label"
+WIKI = "http://en.wikipedia.org/wiki/"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -73,11 +76,13 @@ def triples(spark: SparkSession, sf: str) -> DataFrame:
     edges = edge(customer, "c_name", "locatedIn", "n_name")
     for more in (
         edge(customer, "c_name", "inSegment", "c_mktsegment"), edge(supplier, "s_name", "locatedIn", "n_name"), edge(supplies, "s_name", "supplies", "p_name"),
-        edge(nation, "n_name", "inRegion", "r_name"), edge(part, "p_name", "hasBrand", "p_brand"), edge(part, "p_name", "hasType", "p_type"),
+        edge(nation, "n_name", "inRegion", "r_name"), edge(nation.withColumn("ext", F.concat(F.lit("ext "), "n_name")), "n_name", "owl:sameAs", "ext"), edge(part, "p_name", "hasBrand", "p_brand"), edge(part, "p_name", "hasType", "p_type"),
     ):
         edges = edges.unionByName(more)
     names = types.select("x").distinct()
     iri = types.select(uri("x").alias("s"), "p", F.col("y").alias("o")).unionByName(edges.select(uri("x").alias("s"), "p", uri("y").alias("o")))
+    wiki = nation.select(uri("n_name").alias("s"), F.lit("foaf:isPrimaryTopicOf").alias("p"), F.concat(F.lit(WIKI), F.replace("n_name", F.lit(" "), F.lit("_"))).alias("o"))
+    iri = iri.unionByName(wiki)
     labels = names.select(uri("x").alias("s"), F.lit(LABEL).alias("p"), F.col("x").alias("o"), F.lit("literal").alias("o_kind"))
     return iri.withColumn("o_kind", F.lit("iri")).unionByName(labels).distinct()
 
@@ -87,10 +92,20 @@ def links(kg: DataFrame) -> DataFrame:
     return kg.where(F.col("p") == LABEL).groupBy(F.col("o").alias("text")).agg(F.min("s").alias("uri"))
 
 
-def embeddings(spark: SparkSession, sf: str, kg: DataFrame) -> DataFrame:
-    """(uri, embedding): four of five entities have one.  Entities are numbered in
-    order of uri; one partition numbers the distinct entities only."""
-    n = kg.where(F.col("p") == LABEL).select(F.col("s").alias("uri")).distinct().withColumn("n", F.row_number().over(Window.orderBy("uri")) - 1)
+def numbered(df: DataFrame, col: str, path: str) -> DataFrame:
+    """df with n, the place of each row in the order of a distinct column, from 0.
+    Ranges of the order are numbered each by a task of its own; they are written at
+    path first, as their bounds are sampled."""
+    ranges = stored(df.repartitionByRange(col).withColumn("part", F.spark_partition_id()), path)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = ranges.groupBy("part").agg(F.count(F.lit(1)).alias("k")).select("part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("ahead"))  # a row per range
+    own = ranges.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy(col)) - 1)
+    return own.join(ahead, "part").withColumn("n", F.col("own") + F.col("ahead")).drop("own", "ahead", "part")
+
+
+def embeddings(spark: SparkSession, sf: str, kg: DataFrame, path: str) -> DataFrame:
+    """(uri, embedding): four of five entities have one, by number in order of uri."""
+    n = numbered(kg.where(F.col("p") == LABEL).select(F.col("s").alias("uri")).distinct(), "uri", path)
     e = table(spark, sf, "embeddings")
     total = e.agg(F.count(F.lit(1)).alias("total"))
     keyed = n.where("n % 5 <> 0").join(total).withColumn("vec_id", (F.col("n") % F.col("total")).cast("long"))
@@ -111,7 +126,7 @@ all_rows AS (
   SELECT * FROM raw_rows UNION ALL
   SELECT DISTINCT table_id, 0, CASE split_part(table_id, '_', 1) WHEN 'customer' THEN ['customer', 'nation', 'region', 'segment']
     WHEN 'part' THEN ['part', 'brand', 'type', 'size'] ELSE ['supplier', 'part', 'brand', 'nation'] END FROM raw_rows),
-cells AS (SELECT table_id, CAST(row_idx AS INT) AS row_idx, CAST(i - 1 AS INT) AS col_idx, cells[i] AS text FROM all_rows, range(1, 5) r(i)),
+cells AS MATERIALIZED (SELECT table_id, CAST(row_idx AS INT) AS row_idx, CAST(i - 1 AS INT) AS col_idx, cells[i] AS text FROM all_rows, range(1, 5) r(i)),
 typed AS (
   SELECT c_name AS x, ['Agent', 'Customer', 'Segment_' || c_mktsegment] AS y FROM customer
   UNION ALL SELECT s_name, ['Agent', 'Supplier'] FROM supplier UNION ALL SELECT n_name, ['Place', 'Nation'] FROM nation
@@ -123,18 +138,20 @@ edges AS (
   UNION ALL SELECT c_name, 'inSegment', c_mktsegment FROM customer
   UNION ALL SELECT s_name, 'locatedIn', n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey
   UNION ALL SELECT s_name, 'supplies', p_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
-  UNION ALL SELECT n_name, 'inRegion', r_name FROM nr UNION ALL SELECT p_name, 'hasBrand', p_brand FROM part UNION ALL SELECT p_name, 'hasType', p_type FROM part),
-kg AS (
-  SELECT DISTINCT 'kg:' || replace(x, ' ', '_') AS s, p, y AS o, 'iri' AS o_kind FROM types0
+  UNION ALL SELECT n_name, 'inRegion', r_name FROM nr UNION ALL SELECT n_name, 'owl:sameAs', 'ext ' || n_name FROM nation UNION ALL SELECT p_name, 'hasBrand', p_brand FROM part UNION ALL SELECT p_name, 'hasType', p_type FROM part),
+kg AS MATERIALIZED (
+  SELECT 'kg:' || replace(n_name, ' ', '_') AS s, 'foaf:isPrimaryTopicOf' AS p, 'http://en.wikipedia.org/wiki/' || replace(n_name, ' ', '_') AS o, 'iri' AS o_kind FROM nation
+  UNION SELECT DISTINCT 'kg:' || replace(x, ' ', '_') AS s, p, y AS o, 'iri' AS o_kind FROM types0
   UNION SELECT 'kg:' || replace(x, ' ', '_'), p, 'kg:' || replace(y, ' ', '_'), 'iri' FROM edges
   UNION SELECT 'kg:' || replace(x, ' ', '_'), 'rdfs:label', x, 'literal' FROM types0),
 link AS (SELECT o AS text, min(s) AS uri FROM kg WHERE p = 'rdfs:label' GROUP BY o),
-mention AS (SELECT uri, table_id, row_idx, col_idx FROM cells JOIN link USING (text)),
+mention AS MATERIALIZED (SELECT uri, table_id, row_idx, col_idx FROM cells JOIN link USING (text)),
 lake_uri AS (SELECT DISTINCT uri FROM mention),
 ent_types AS (SELECT s AS uri, list_sort(list(DISTINCT o)) AS types FROM kg WHERE p = 'rdf:type' AND o NOT LIKE '%owl#Thing' AND o NOT LIKE '%/Q5' GROUP BY s),
 ent_preds AS (SELECT s AS uri, list_sort(list(DISTINCT p)) AS predicates FROM kg WHERE o_kind = 'iri' GROUP BY s),
 ent_nums AS (SELECT uri, row_number() OVER (ORDER BY uri) - 1 AS n FROM (SELECT DISTINCT s AS uri FROM kg WHERE p = 'rdfs:label')),
-emb AS (SELECT uri, CAST(embedding AS DOUBLE[]) AS embedding FROM ent_nums JOIN embeddings ON n % 5 <> 0 AND vec_id = n % (SELECT count(*) FROM embeddings)),
+emb_ids AS (SELECT uri, n % total AS vec_id FROM ent_nums, (SELECT count(*) AS total FROM embeddings) WHERE n % 5 <> 0),
+emb AS MATERIALIZED (SELECT uri, CAST(embedding AS DOUBLE[]) AS embedding FROM emb_ids JOIN embeddings USING (vec_id)),
 ent_idf AS (SELECT uri, log10((SELECT count(DISTINCT table_id) FROM cells)::DOUBLE / count(DISTINCT table_id)) + 1 AS idf FROM mention GROUP BY uri),
 lake_types AS (SELECT uri, unnest(types) AS type FROM ent_types JOIN lake_uri USING (uri)),
 type_idf AS (SELECT type, log2((SELECT count(*) FROM lake_uri)::DOUBLE / count(*)) AS idf FROM lake_types GROUP BY type)
