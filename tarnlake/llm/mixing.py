@@ -79,12 +79,9 @@ for _n in range(1, 16):
 def _ln_factorial(n: Column) -> Column:
     """By table below 16, by Stirling's series from there on."""
     x = n.cast("double")
-    series = x * F.log(x) - x + 0.5 * F.log(x * (2 * math.pi)) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
-    return F.when(n < 16, F.element_at(F.array(*[F.lit(v) for v in _EXACT]), n.cast("int") + 1)).otherwise(series)
-
-
-def _ln_choose(n: Column, k: Column) -> Column:
-    return _ln_factorial(n) - _ln_factorial(k) - _ln_factorial(n - k)
+    y = 1 / (x * x)
+    series = x * F.log(x) - x + 0.5 * F.log(x * (2 * math.pi)) + (1 / 12 - y * (1 / 360 - y / 1260)) / x
+    return F.when(n < 16, F.element_at(F.lit(_EXACT), n.cast("int") + 1)).otherwise(series)
 
 
 def hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Column:
@@ -94,13 +91,13 @@ def hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Col
 
     def walk(c: Column) -> Column:
         n, k, d = c["n"], c["k"], c["d"]
-        mode = F.floor((d + 1).cast("double") * (k + 1) / (n + 2)).cast("long")
-        mode = F.greatest(mode, F.lit(0).cast("long"), d - (n - k))
-        mode = F.least(mode, d, k)
+        mode = c["mode"]
         share = k.cast("double") / n
         spread = F.sqrt(d * share * (1 - share) * (n - d) / F.greatest(n - 1, F.lit(1)))
         steps = F.least(F.least(d, k).cast("double"), F.ceil(10 * spread) + 10).cast("int")
-        p = F.exp(_ln_choose(k, mode) + _ln_choose(n - k, d - mode) - _ln_choose(n, d))
+        over, under = (k, n - k, d, n - d), (mode, k - mode, d - mode, n - k - d + mode, n)  # factorials of a fraction
+        parts = F.transform(F.array(*over, *under), lambda x, i: F.when(i < len(over), 1).otherwise(-1) * _ln_factorial(x))
+        p = F.exp(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x))
         state = lambda left, up, pu, dn, pd, got: F.struct(
             left.alias("left"), up.cast("long").alias("up"), pu.alias("pu"), dn.cast("long").alias("dn"), pd.alias("pd"), got.cast("long").alias("got")
         )
@@ -116,7 +113,10 @@ def hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Col
         walked = F.aggregate(F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>")), start, step, lambda a: a["got"])
         return F.coalesce(walked, mode)
 
-    given = F.struct(total.cast("long").alias("n"), good.cast("long").alias("k"), draws.cast("long").alias("d"), u.cast("double").alias("u"))
+    n, k, d = total.cast("long"), good.cast("long"), draws.cast("long")
+    mode = F.floor((d + 1).cast("double") * (k + 1) / (n + 2)).cast("long")
+    mode = F.least(F.greatest(mode, F.lit(0).cast("long"), d - (n - k)), d, k)
+    given = F.struct(n.alias("n"), k.alias("k"), d.alias("d"), u.cast("double").alias("u"), mode.alias("mode"))
     certain = F.when((draws == 0) | (good == 0), F.lit(0).cast("long")).when(good == total, draws.cast("long"))
     return F.coalesce(certain, _let(given, walk))
 
@@ -140,18 +140,17 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> D
     first block of the source.  One row holds a node's quotas of all sources."""
     if shards & (shards - 1):
         raise ValueError("shards is not a power of two")
+    # Nodes are numbered as in a heap: 1, then 2 and 3, so each draws of its own.
     tree = quotas.agg(F.sort_array(F.collect_list(F.struct("idx", "quota"))).alias("q"))
-    tree = tree.select(F.lit(0).cast("long").alias("node"), F.transform("q", lambda x: x["quota"]).alias("quotas"), F.transform("q", lambda x: x["idx"]).alias("ids"))
-    level = 1
+    tree = tree.select(F.lit(1).cast("long").alias("node"), F.transform("q", lambda x: x["quota"]).alias("quotas"), F.transform("q", lambda x: x["idx"]).alias("ids"))
+    go, rest, level = _split(F.col("node"), F.col("quotas"), seed), F.zip_with("quotas", "go", lambda q, g: q - g), 1
     while level < shards:
-        left = tree.withColumn("go", _split(F.col("node") + F.lit(level), F.col("quotas"), seed))
-        rest = F.zip_with("quotas", "go", lambda q, g: q - g)
-        tree = left.select(F.posexplode(F.array(F.col("go"), rest)).alias("side", "quotas"), "node", "ids")
+        if level > 1 and level.bit_length() % 4 == 1:  # every four levels, so that plans stay small
+            tree = materialize(tree.repartition("node"), "mix-tree")
+        tree = tree.withColumn("go", go).select(F.posexplode(F.array(F.col("go"), rest)).alias("side", "quotas"), "node", "ids")
         tree = tree.select((F.col("node") * 2 + F.col("side")).alias("node"), "quotas", "ids")
         level *= 2
-        if level == 64:
-            tree = tree.repartition("node")
-    leaf = tree.select(F.col("node").alias("shard"), F.explode(F.arrays_zip("ids", "quotas")).alias("z"))
+    leaf = tree.select((F.col("node") - shards).alias("shard"), F.explode(F.arrays_zip("ids", "quotas")).alias("z"))
     leaf = leaf.select("shard", F.col("z.ids").alias("idx"), F.col("z.quotas").alias("quota"))
     until = F.sum("quota").over(Window.partitionBy("idx").orderBy("shard"))
     return leaf.select("idx", "shard", "quota", (until - F.col("quota")).alias("lo"))
@@ -214,15 +213,14 @@ def plan_mix(rows: DataFrame, shards: int | None = None, seed: int = SEED, weigh
     # One row per block that has documents.
     blocks = dealt.groupBy("idx", "block").agg(F.sum("size").alias("words"), F.first("epochs").alias("epochs"), F.first("rest").alias("rest"))
     blocks = materialize(blocks, "mix-blocks")
-    last = _ordered(blocks, ["idx"], F.xxhash64(F.lit(seed), F.lit("last"), "idx", "block")).where("words > 0 and before < rest")
-    last = last.withColumn("part", F.col("before") + F.col("words") > F.col("rest"))
+    # Blocks of the last epoch: the first ones of their order, as many as have room.
+    last = _ordered(blocks.where("words > 0"), ["idx"], F.xxhash64(F.lit(seed), F.lit("last"), "idx", "block")).where("before < rest")
+    last = materialize(last.withColumn("part", F.col("before") + F.col("words") > F.col("rest")), "mix-last")
     counted = blocks.groupBy("idx").agg(F.count(F.lit(1)).alias("n"))
     full = blocks.where("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
     full = _ordered(full, ["idx", "epoch"], F.xxhash64(F.lit(seed), "epoch", "idx", "block")).withColumn("part", F.lit(False))
-    # The blocks of the last epoch are numbered anew: some of its order may have no words.
-    left = last.select("idx", "block", "words", F.col("epochs").alias("epoch"), "part")
-    left = _ordered(left, ["idx"], F.xxhash64(F.lit(seed), F.lit("last"), "idx", "block"))
-    drawn = full.select("idx", "block", "epoch", "rank", "part").unionByName(left.select("idx", "block", "epoch", "rank", "part"))
+    left = last.select("idx", "block", F.col("epochs").alias("epoch"), "rank", "part")
+    drawn = full.select("idx", "block", "epoch", "rank", "part").unionByName(left)
     drawn = drawn.join(counted, "idx").withColumn("rank", F.col("epoch") * F.col("n") + F.col("rank"))
     drawn = materialize(drawn.select("idx", "block", "epoch", "rank", "part"), "mix-draws")
     shares = split_quotas(drawn.groupBy("idx").agg(F.count(F.lit(1)).alias("quota")), shards, seed)
