@@ -1,9 +1,9 @@
 """Quality rules as a bitmask ledger.
 
-ledger() evaluates every rule once per document and stores one bit per failed
-rule beside the measurements.  Policies are versioned masks over those bits:
-apply_policies() and ablations() never look at the text again.  DataFrame
-functions only.
+ledger() evaluates every rule once per document: one bit per failed rule beside
+the measurements.  write_ledger() stores it.  Policies are versioned masks over
+those bits: apply_policies() and ablations() read the stored ledger and never look
+at a text again.  DataFrame functions only.
 
 Defined cases: a null text has no words and measures 0 everywhere, so it fails
 too_few_words.  Rows with a null id, repeated rows and empty tables are carried
@@ -15,10 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_RE, BLANKS, read_table, text_or_empty
+from .common import BLANK_RE, BLANKS, fresh_path, read_table, text_or_empty
 
 WINDOW = 8  # words in a window of n_repeat_words
 SYMBOLS = "#*$%&|<>"
+ENDS = (".", "!", "?")  # of a line that ends a sentence
 
 #: name -> failing condition over the measurements; the position is the bit.
 RULES: dict[str, str] = {
@@ -27,6 +28,8 @@ RULES: dict[str, str] = {
     "symbols": "100 * n_symbols > 20 * n_words",
     "duplicate_lines": "100 * n_dup_lines > 30 * n_word_lines",
     "word_length": "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words)",
+    "digits": "100 * n_digits > 30 * word_chars",
+    "line_ends": "n_word_lines >= 10 AND 100 * n_ended_lines < 5 * n_word_lines",
 }
 BASE = ("too_few_words", "repeated_words")
 
@@ -34,7 +37,8 @@ BASE = ("too_few_words", "repeated_words")
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": BASE,
     "v1": ("too_few_words", "repeated_words", "symbols"),
-    "v2": tuple(RULES),
+    "v2": ("too_few_words", "repeated_words", "symbols", "duplicate_lines", "word_length"),
+    "v3": tuple(RULES),
 }
 CURRENT = "v2"
 
@@ -95,6 +99,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_word_lines"),
+        (F.octet_length("t") - F.octet_length(F.translate("t", "0123456789", ""))).cast("long").alias("n_digits"),
+        F.size(F.filter("lines", lambda x: F.right(F.btrim(x, F.lit(BLANKS)), F.lit(1)).isin(*ENDS))).cast("long").alias("n_ended_lines"),
     )
 
 
@@ -106,6 +112,13 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return measure(docs, id_col, text_col).withColumn("fail_bits", bits.cast("int"))
 
 
+def write_ledger(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger, stored as Parquet at path."""
+    rows = ledger(docs, id_col, text_col)
+    rows.write.parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def verdict(policy: str) -> Column:
     """True where no rule of the policy failed."""
     return F.col("fail_bits").bitwiseAND(mask(POLICIES[policy])) == 0
@@ -136,11 +149,12 @@ def ablations(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger(read_table(spark, sf_dir, "documents"))
+    """fail_bits: the bits of all rules; kept: by the policy CURRENT."""
+    rows = write_ledger(read_table(spark, sf_dir, "documents"), fresh_path(spark, "quality-ledger"))
     failed = F.col("fail_bits").bitwiseAND(mask(BASE)) != 0
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & verdict(CURRENT)).alias("kept"),
+        failed.alias("base_failed"), (~failed & verdict(CURRENT)).alias("kept"), "fail_bits",
     )
 
 
@@ -162,12 +176,16 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
          CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-         CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines
-  FROM m LEFT JOIN r USING (doc_id))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 20 * n_words
-            OR 100 * n_dup_lines > 30 * n_lines
-            OR (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words))) AS kept
-FROM q
+         CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines,
+         length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) AS n_digits,
+         len(list_filter(lines, lambda x: regexp_matches(x, '[.!?][\x20\x09-\x0D]*$'))) AS n_ended
+  FROM m LEFT JOIN r USING (doc_id)),
+     b AS (
+  SELECT *, n_words < 20 AS r0, 100 * n_repeat_words > 30 * n_words AS r1, 100 * n_symbols > 20 * n_words AS r2, 100 * n_dup_lines > 30 * n_lines AS r3,
+         n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words) AS r4, 100 * n_digits > 30 * word_chars AS r5,
+         n_lines >= 10 AND 100 * n_ended < 5 * n_lines AS r6
+  FROM q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r0 OR r1 AS base_failed, NOT (r0 OR r1 OR r2 OR r3 OR r4) AS kept,
+       r0::INT + 2 * r1::INT + 4 * r2::INT + 8 * r3::INT + 16 * r4::INT + 32 * r5::INT + 64 * r6::INT AS fail_bits
+FROM b
 """
