@@ -19,11 +19,12 @@ anchor on and then those before it, are the anchor's key.
    gram hash that leads each key.
 3. A task merges the runs of a range with a loser tree.  A run's prefix lengths
    are those against the key just taken, so a comparison starts where the known
-   prefixes end, and mostly needs no bytes at all.  Equal keys meet; unequal keys
-   of one gram are compared string by string.
-4. The few grams of which a task would get more than it can hold
-   (total / HOT_GRAMS or HOT_LEAST) skip the exchange: their strings are
-   aggregated as rows, dealt by their digests.
+   prefixes end, and mostly needs no bytes at all.  Equal keys meet.  Of unequal
+   keys of one gram the common prefixes tell which share the bytes from the anchor
+   on; only the bytes before it are looked at.
+4. Of the few grams that a task would get more of than it can hold (total /
+   HOT_GRAMS or HOT_LEAST) every string is a key of its own, led by its own hash,
+   so they go through the same runs and merges but over all ranges.
 
 Defined cases: a null or empty text has no bytes.  A null id ranks after all
 others.  Rows without an id, and rows that repeat one, are documents of their own,
@@ -49,7 +50,8 @@ SPAN, GRAM = 100, 32
 MAP_BITS = 27  # the broadcast map has 2^MAP_BITS / 8 bytes, whatever the input
 HOT_LEAST, HOT_GRAMS = 20_000, 1_000_000
 LARGE = 1000  # keys of one gram that are compared with all their strings at once
-RUN_BYTES = 24 << 20  # keys that a task holds before it sorts and writes a run
+RUN_KEYS = 120_000  # that a task holds before it sorts and writes a run
+HOT_STRINGS = 100_000  # strings of hot grams to a run
 CHUNK = 1 << 22  # starts handled at a time in a very long text
 LAST = (1 << 63) - 1  # stands for a null id
 
@@ -272,74 +274,73 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _strings(key: bytes, right: int, only: int | None = None) -> Iterator[tuple[int, bytes]]:
-    """(offset of the anchor, string) of the strings that a key stands for, or of one offset."""
+def _offsets(key: bytes, right: int) -> range:
+    """Offsets of the anchor in the strings that a key stands for."""
+    left = len(key) - 8 - right
+    return range(max(0, SPAN - right), left + 1)
+
+
+def _strings(key: bytes, right: int) -> Iterator[tuple[int, bytes]]:
+    """(offset of the anchor, string) of the strings that a key stands for."""
     text = key[8 + right :] + key[8 : 8 + right]  # bytes before the anchor, and from it on
     left = len(key) - 8 - right
-    least = left - (len(text) - SPAN)
-    for o in range(left, least - 1, -1) if only is None else [only] if least <= only <= left else []:
+    for o in _offsets(key, right):
         yield o, text[left - o : left - o + SPAN]
 
 
-_PIECES = "kind int, part int, blob binary, id long, num long, first long, last long, hi long, lo long"
-_SPAN_ROW, _RUN_ROW, _STRING_ROW = 0, 1, 2
+_PIECES = "kind int, part int, blob binary, id long, num long, first long, last long"
+_SPAN_ROW, _RUN_ROW = 0, 1
 
 
 def _runs(docs: DataFrame, bitmap: bytes, hot: np.ndarray, parts: int) -> DataFrame:
-    """Spans already known to repeat, runs by part, and the strings of hot grams."""
+    """Spans already known to repeat, and runs by part."""
     sent = docs.sparkSession.sparkContext.broadcast((zlib.compress(bitmap, 1), hot.tobytes()))  # bounded: see MAP_BITS, HOT_GRAMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, heat = np.frombuffer(zlib.decompress(sent.value[0]), np.uint8), np.frombuffer(sent.value[1], np.uint64)
-        keys: list[bytes] = []
-        right: list[int] = []
-        ranks: list[tuple[int, int]] = []
-        places: list[int] = []
-        size = 0
+        flags, heat = np.frombuffer(zlib.decompress(sent.value[0]), np.uint8), frozenset(np.frombuffer(sent.value[1], np.uint64).tolist())
+        entries: list[tuple[bytes, int, tuple[int, int], int]] = []  # key, bytes from the anchor on, rank, place of the anchor
 
-        def flush():
-            nonlocal size
-            order = sorted(range(len(keys)), key=lambda i: (keys[i], right[i], ranks[i], places[i]))
-            names = [x.split()[0] for x in _PIECES.split(", ")]
-            kinds = (pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 6)
-            rows: list[tuple] = []
-
-            def packed():
-                columns = zip(*rows) if rows else [[]] * len(names)
-                got = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
-                rows.clear()
-                return got
-
-            chosen: dict[int, list[int]] = {}
+        names = [x.split()[0] for x in _PIECES.split(", ")]
+        kinds = (pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 4)
+
+        def sorted_runs(entries: list[tuple], hot: list[tuple] | None):
+            """Spans and runs of (key, right, rank, place).  Of equal keys the first
+            stays; those of hot grams that stay go to hot, if given, and not to a run."""
+            entries.sort()
+            chosen: dict[int, list[tuple]] = {}
             gone: dict[tuple[int, int], list[tuple[int, int]]] = {}
             before = None
-            for i in order:
-                if len(rows) > 20_000:
-                    yield packed()
-                k, r = keys[i], right[i]
-                if before is not None and k == keys[before] and r == right[before]:
-                    if (ranks[i], places[i]) != (ranks[before], places[before]):
-                        gone.setdefault(ranks[i], []).append((places[i] - (len(k) - 8 - r), places[i] + r))
+            for e in entries:
+                k, r, rank, place = e
+                if before is not None and k == before[0] and r == before[1]:
+                    if (rank, place) != before[2:]:
+                        gone.setdefault(rank, []).append((place - (len(k) - 8 - r), place + r))
                     continue
-                before = i
+                before = e
                 h = int.from_bytes(k[:8], "big")
-                at = int(np.searchsorted(heat, np.uint64(h))) if len(heat) else 0
-                if at < len(heat) and int(heat[at]) == h:
-                    for o, s in _strings(k, r):
-                        d = hashlib.blake2b(s, digest_size=16).digest()
-                        hi, lo = int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
-                        rows.append((_STRING_ROW, None, None, *ranks[i], places[i] - o, None, hi, lo))
+                if hot is not None and h in heat:
+                    hot.append(e)
                 else:
-                    chosen.setdefault(h * parts >> 64, []).append(i)
-            for rank, spans in gone.items():
-                rows += [(_SPAN_ROW, None, None, *rank, a, b, None, None) for a, b in _joined(spans)]
+                    chosen.setdefault(h * parts >> 64, []).append(e)
+            rows = [(_SPAN_ROW, None, None, *rank, a, b) for rank, spans in gone.items() for a, b in _joined(spans)]
             for part, own in chosen.items():
-                blob = encode_run([keys[i] for i in own], [right[i] for i in own], [ranks[i][0] for i in own], [places[i] for i in own], [ranks[i][1] for i in own])
-                rows.append((_RUN_ROW, part, blob, *[None] * 6))
-            for x in (keys, right, ranks, places):
-                x.clear()
-            size = 0
-            yield packed()
+                blob = encode_run([e[0] for e in own], [e[1] for e in own], [e[2][0] for e in own], [e[3] for e in own], [e[2][1] for e in own])
+                rows.append((_RUN_ROW, part, blob, *[None] * 4))
+            for k in range(0, len(rows), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 20_000]), kinds)], names=names)
+
+        def flush():
+            hot: list[tuple] = []
+            yield from sorted_runs(entries, hot)
+            entries.clear()
+            strings: list[tuple] = []
+            for k, r, rank, place in hot:  # a key per string: its hash and its bytes
+                strings += [(hashlib.blake2b(s, digest_size=8).digest() + s, SPAN, rank, place - o) for o, s in _strings(k, r)]
+                if len(strings) > HOT_STRINGS:
+                    yield from sorted_runs(strings, None)
+                    strings.clear()
+            if strings:
+                yield from sorted_runs(strings, None)
 
         for batch in batches:
             for rank, text in zip(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()), batch.column(1)):
@@ -354,14 +355,10 @@ def _runs(docs: DataFrame, bitmap: bytes, hot: np.ndarray, parts: int) -> DataFr
                     continue
                 raw, heads = buffer.to_pybytes(), h[hit].astype(">u8").tobytes()
                 for j, (p, a, b) in enumerate(zip(at[hit].tolist(), first[hit].tolist(), last[hit].tolist())):
-                    keys.append(heads[8 * j : 8 * j + 8] + raw[p : b + SPAN] + raw[a:p])
-                    right.append(b + SPAN - p)
-                    places.append(p)
-                    size += 200
-                ranks.extend([rank] * len(hit))
-                if size > RUN_BYTES:
+                    entries.append((heads[8 * j : 8 * j + 8] + raw[p : b + SPAN] + raw[a:p], b + SPAN - p, rank, p))
+                if len(entries) > RUN_KEYS:
                     yield from flush()
-        if keys:
+        if entries:
             yield from flush()
 
     return docs.mapInArrow(run, _PIECES)
@@ -372,24 +369,33 @@ def _runs(docs: DataFrame, bitmap: bytes, hot: np.ndarray, parts: int) -> DataFr
 
 def _merge_part(blobs: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
     """(id, num, first, last) of repeated spans in one range of keys."""
-    group: list[list] = []  # keys of one gram: key, right, rank, place
+    group: list[list] = []  # keys of one gram in order: key, right, rank, place, common prefix with the one before
 
     def close():
         if len(group) < 2:
             return
-        # A string has one offset, so many keys can be compared offset by offset.
-        turns = [None] if len(group) <= LARGE else range(SPAN)
+        # Strings with the anchor at offset o are equal if their keys share the
+        # SPAN - o bytes from the anchor on, as the prefixes tell, and the o bytes
+        # before it.  A string has one offset, so many keys can be compared offset
+        # by offset, to hold fewer of them at a time.
+        turns = [range(SPAN)] if len(group) <= LARGE else [range(o, o + 1) for o in range(SPAN)]
         late: list[list[int]] = [[] for _ in group]
         for turn in turns:
-            first: dict[bytes, tuple[tuple[int, int], int]] = {}
-            for key, right, doc, place in group:
-                for o, s in _strings(key, right, turn):
-                    at = (doc, place - o)
+            first: dict[tuple, tuple[tuple[int, int], int]] = {}
+            same = [0] * (SPAN + 1)  # by offset, the first key with those bytes
+            found = []
+            for i, (key, right, doc, place, common) in enumerate(group):
+                fresh = min(SPAN + 1, max(0, 8 + SPAN - common))
+                same[:fresh] = [i] * fresh
+                for o in _offsets(key, right) if len(turns) == 1 else [o for o in turn if o in _offsets(key, right)]:
+                    s, at = (o, same[o], key[len(key) - o :] if o else b""), (doc, place - o)
+                    found.append((i, s, at))
                     if s not in first or at < first[s]:
                         first[s] = at
-            for (key, right, doc, place), starts in zip(group, late):
-                starts += [place - o for o, s in _strings(key, right, turn) if first[s] < (doc, place - o)]
-        for (_, _, doc, _), starts in zip(group, late):
+            for i, s, at in found:
+                if first[s] < at:
+                    late[i].append(at[1])
+        for (_, _, doc, _, _), starts in zip(group, late):
             for a, b in _spans_of(sorted(starts)):
                 yield *doc, a, b
 
@@ -407,7 +413,7 @@ def _merge_part(blobs: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
                     same = g
                     break
         if same is None:
-            group.append([key, right, doc, place])
+            group.append([key, right, doc, place, common if group else 0])
             continue
         if (doc, place) < (same[2], same[3]):
             doc, place, same[2], same[3] = same[2], same[3], doc, place
@@ -453,10 +459,7 @@ def repeated_spans(docs: DataFrame, parts: int | None = None, hot_least: int = H
     runs = pieces.where(f"kind = {_RUN_ROW}").select("part", "blob").repartition(parts, "part").sortWithinPartitions("part")
     merged = runs.mapInArrow(merge, "id long, num long, first long, last long")
     known = pieces.where(f"kind = {_SPAN_ROW}").select("id", "num", "first", "last")
-    strings = pieces.where(f"kind = {_STRING_ROW}").select("hi", "lo", "id", "num", "first")
-    low = strings.groupBy("hi", "lo").agg(F.min(F.struct("id", "num", "first")).alias("m"))
-    late = strings.join(low, ["hi", "lo"]).where(F.struct("id", "num", "first") != F.col("m"))
-    return merged.unionByName(known).unionByName(late.select("id", "num", "first", (F.col("first") + SPAN).alias("last")))
+    return merged.unionByName(known)
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
