@@ -24,8 +24,9 @@ tables of CELLS counters hold them.  They only order: a wrong count costs time.
 
 Defined cases: a null or empty text has an empty set, is linked with nothing
 and is its own component; rows with a null id link with nothing and have a null
-component; rows that share an id are one node.  Empty tables give an empty
-result, extra columns are ignored.
+component.  Rows that share an id have the links of all of them: different texts
+under one id are joined as nodes of their own, and their components then united.
+Empty tables give an empty result, extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -289,13 +290,40 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 def jaccard_join(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n, component."""
     texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    counted = texts.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    shared = materialize(counted, "join-shared-ids")
+    if shared.isEmpty():
+        return _join(texts, k, percent)
+    # The different texts of a shared id become nodes with numbers above all ids.
+    digest = F.sha2("text", 256)
+    rows = materialize(texts.join(shared, "id", "left_semi").select("id", digest.alias("digest"), "text"), "join-shared")
+    top = texts.agg(F.max("id")).first()[0] + 1
+    own = rows.dropDuplicates(["id", "digest"]).withColumn("node", F.monotonically_increasing_id() + F.lit(top).cast("long"))
+    own = materialize(own, "join-shared-nodes")  # so that the numbers stay
+    alone = texts.join(shared, "id", "left_anti")
+    found = materialize(_join(alone.unionByName(own.select(F.col("node").alias("id"), "text")), k, percent), "join-nodes")
+    # Components that an id's texts lie in are one; its name is the smallest id in it.
+    of = own.select("node", F.col("id").alias("real"), "digest").join(found.withColumnRenamed("id", "node"), "node")
+    low = of.groupBy("real").agg(F.min("component").alias("b"))
+    united = components(of.join(low, "real").select(F.col("component").alias("a"), "b"), "join-united")
+    part = of.select("component").distinct().join(united.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left")
+    part = materialize(part.select("component", F.coalesce("whole", "component").alias("whole")), "join-parts")  # components with a shared id
+    reals = alone.select("id").join(found.select("id", "component"), "id").select("component", F.col("id").alias("real")).unionByName(of.select("component", "real"))
+    names = reals.join(part, "component").groupBy("whole").agg(F.min("real").alias("name"))
+    name = part.join(names, "whole").select("component", "name")
+    plain = found.where(F.col("id").isNull() | (F.col("id") < top)).join(name, "component", "left").select("id", "n", F.coalesce("name", "component").alias("component"))
+    again = rows.select("id", "digest").join(of.select(F.col("real").alias("id"), "digest", "n", "component"), ["id", "digest"]).join(name, "component")
+    return plain.unionByName(again.select("id", "n", F.col("name").alias("component")))
+
+
+def _join(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """jaccard_join of (id, text), where ids that are not null are different."""
     scan = materialize(_scan(texts, k), "join-scan")
     common, level, length = _tables(scan)
     nodes = scan.where("kind = 0").select("id", "n", "print")
     classes = nodes.where("n > 0 and id is not null").groupBy("print").agg(F.min("id").alias("rep"))
-    member = materialize(nodes.join(classes, "print", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "join-classes")
-    rep = member.where("id is not null").groupBy("id").agg(F.min("rep").alias("rep"))  # rows that share an id are one node
-    same_id = member.where("id is not null and rep is not null").join(rep.withColumnRenamed("rep", "low"), "id").where("rep <> low")
+    member = materialize(nodes.join(classes, "print", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")), "join-classes")
+    rep = member.where("id is not null").select("id", "rep")
 
     prefixes = materialize(_prefixes(texts, k, percent, common, level), "join-prefixes")
     keys = _keys(prefixes, percent, boundary(percent, length)).repartition("key")
@@ -314,8 +342,7 @@ def jaccard_join(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id",
     star = listed.where((F.col("id") != F.col("pivot")) & _pairable(F.col("size"), F.col("pivot_size"), percent))
     star = star.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     star = materialize(_promising(star, own, percent), "join-star")
-    same = same_id.select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    links = materialize(_linked(star, texts, k, percent).unionByName(same), "join-links")
+    links = materialize(_linked(star, texts, k, percent), "join-links")
     found = components(links, "join-round")
 
     left = listed.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
