@@ -19,7 +19,7 @@ from .common import BLANK_RE, BLANKS, fresh_path, read_table, text_or_empty
 
 WINDOW = 8  # words in a window of n_repeat_words
 SYMBOLS = "#*$%&|<>"
-ENDS = (".", "!", "?")  # of a line that ends a sentence
+LINE_END = r"[.!?][\x20\x09\x0B-\x0D]*(?:\n|\z)"  # of a line that ends a sentence
 
 #: name -> failing condition over the measurements; the position is the bit.
 RULES: dict[str, str] = {
@@ -100,7 +100,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         repeated_words(F.col("words")).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_word_lines"),
         (F.octet_length("t") - F.octet_length(F.translate("t", "0123456789", ""))).cast("long").alias("n_digits"),
-        F.size(F.filter("lines", lambda x: F.right(F.btrim(x, F.lit(BLANKS)), F.lit(1)).isin(*ENDS))).cast("long").alias("n_ended_lines"),
+        F.regexp_count("t", F.lit(LINE_END)).cast("long").alias("n_ended_lines"),
     )
 
 
