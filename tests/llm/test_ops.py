@@ -411,7 +411,33 @@ def test_jaccard_join(spark, odd, docs, k, percent):
     for df in (docs, spark.createDataFrame(near, "doc_id long, text string"), odd.where("doc_id is not null").dropDuplicates(["doc_id"]), odd.limit(0)):
         got = {r.id: (r.n, r.component) for r in jaccard_join.jaccard_join(df, k, percent).collect()}
         assert got == brute_components(texts(df), k, percent)
-    assert jaccard_join.jaccard_join(odd, k, percent).count() == len(ODD)
+    rows = [(None, t) for _, t in near[:3]] + [(7, near[40][1]), (7, near[41][1]), (7, near[41][1]), (90, near[7][1]), (90, "all by itself"), (91, "all by itself"), (91, "far away"), (3, "far away"), (-5, "")]
+    for df in (odd, spark.createDataFrame(near + rows, "doc_id long, text string"), docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))):
+        got = collections.Counter(map(tuple, jaccard_join.jaccard_join(df, k, percent).collect()))
+        assert got == brute_nodes(texts(df), k, percent)
+
+
+def brute_nodes(rows, k, percent):
+    """Rows with null or repeated ids: each row is a node, rows of one id are linked."""
+    nodes = dict(enumerate(rows))
+    found = brute_components([(j, t) for j, (i, t) in nodes.items() if i is not None], k, percent)
+    parent = {j: c for j, (_, c) in found.items()}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    first = {}
+    for j in parent:
+        a, b = find(j), find(first.setdefault(nodes[j][0], j))
+        parent[max(a, b)] = min(a, b)
+    name = {}
+    for j in parent:
+        name[find(j)] = min(name.get(find(j), nodes[j][0]), nodes[j][0])
+    sizes = {j: n for j, (n, _) in found.items()}
+    lone = brute_components([(j, t) for j, (i, t) in nodes.items() if i is None], k, percent)
+    return collections.Counter((i, sizes[j], name[find(j)]) if i is not None else (None, lone[j][0], None) for j, (i, _) in nodes.items())
 
 
 def test_dedup_stage_keeps_null_ids(spark, odd):
@@ -543,8 +569,111 @@ def test_pii_iban_length_and_ssn_context(spark):
     assert got == {1: [(0, 27)], 2: [(0, 22)], 3: [(4, 31), (32, 59)], 4: [(3, 25)], 5: [(5, 32)], 6: [], 7: [], 8: [(0, 11)], 9: [(4, 15)], 10: [], 11: [(2, 21)]}
 
 
+def stage_rows(df):
+    """Whole rows, as a multiset."""
+    return collections.Counter(map(repr, df.collect()))
+
+
+def check_toxicity_stage(spark, before, after):
+    model = toxicity.fit(before, spark.read.parquet(f"{SF}/labels.parquet"))
+    known = model["weights"].keys()
+    toxic = lambda t: 1 - toxicity.grade_probabilities(sum(model["weights"][f] for f in sorted(toxicity.features(t or "") & known)), model["theta"])[0] >= toxicity.CUT
+    assert stage_rows(after) == collections.Counter(repr(r) for r in before.collect() if not toxic(r["text"]))
+
+
+def check_dedup_stage(spark, before, after):
+    groups = collections.defaultdict(list)
+    for r in before.collect():
+        t = r["text"] or ""
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t)].append((-len(t), r["doc_id"] is None, r["doc_id"] or 0, r["doc_id"]))
+    key = lambda i, norm: (i, norm if i is None else None)
+    kept = {key(min(g)[3], norm) for norm, g in groups.items()}
+    want = (r for r in before.collect() if key(r["doc_id"], re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "")) in kept)
+    assert stage_rows(after) == collections.Counter(map(repr, want))
+
+
+def check_near_stage(spark, before, after):
+    """Rows that share an id are one node with the links of all of them."""
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    nodes = []
+    for r in before.collect():
+        w = re.findall(WORD, (r["text"] or "").translate(low))
+        nodes.append((r["doc_id"], set() if not w else {tuple(w)} if len(w) < 5 else {tuple(w[a : a + 5]) for a in range(len(w) - 4)}))
+    parent = {i: i for i, _ in nodes if i is not None}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, s in nodes:
+        for j, t in nodes:
+            if i is not None and j is not None and j < i and s and t and 100 * len(s & t) >= 80 * len(s | t):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    want = (r for r in before.collect() if r["doc_id"] is None or find(r["doc_id"]) == r["doc_id"])
+    assert stage_rows(after) == collections.Counter(map(repr, want))
+
+
+def check_mix_stage(spark, before, after):
+    words = lambda t: len(re.findall(WORD, t or ""))
+    rows, mixed = stage_rows(before), stage_rows(after)
+    assert set(mixed) <= set(rows) and all(mixed[r] <= 3 * rows[r] for r in mixed)
+    by, got = collections.Counter(), collections.Counter()
+    for r in before.collect():
+        by[r["source"]] += words(r["text"])
+    for r in after.collect():
+        got[r["source"]] += words(r["text"])
+    sources = sorted(by, key=lambda s: (s is None, s or ""))
+    for s, t in brute_targets({s: by[s] for s in sources}).items():
+        longest = max(words(r["text"]) for r in before.collect() if r["source"] == s)
+        assert abs(got[s] - t) <= longest / 2
+
+
+def check_pack_stage(spark, before, after):
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(packing.tokenizer_path())
+    coder.encode_special_tokens = True
+    ids = collections.Counter()
+    for r in before.collect():
+        own = coder.encode(r["text"] or "", add_special_tokens=False).ids + [2]
+        ids[r["doc_id"], len(own)] += len(own)
+    got, windows = collections.Counter(), collections.defaultdict(list)
+    for r in after.collect():
+        got[r["doc_id"], r["doc_tokens"]] += r["length"]
+        windows[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert got == ids
+    for v in windows.values():
+        at = 0
+        for a, n in sorted(v):
+            assert a == at
+            at += n
+        assert at == 4096 or at < 4096 and at & (at - 1) == 0
+
+
+STAGE_CHECKS = [check_toxicity_stage, check_dedup_stage, check_near_stage, check_mix_stage, check_pack_stage]
+
+
+@pytest.mark.parametrize("table", ["docs", "odd", "empty", "both"])
+def test_pipeline_stages(spark, odd, docs, table, tmp_path):
+    """Each stage against brute force on what the one before kept, over the small
+    table, odd rows (nulls, repeats, clashing columns, long texts), none and both."""
+    import corpus_pipeline
+
+    df = {"docs": docs, "odd": odd, "empty": odd.limit(0), "both": docs.unionByName(odd.drop("id", "size"))}[table]
+    for k, ((name, stage), check) in enumerate(zip(corpus_pipeline.STAGES, STAGE_CHECKS)):
+        stage(spark, df, SF).write.parquet(f"{tmp_path}/{k}")
+        after = spark.read.parquet(f"{tmp_path}/{k}")
+        assert k == 4 or after.columns == df.columns
+        check(spark, df, after)
+        df = after
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "rule"} == set(out.columns) and out.count() > 0
+    left = [p.name for p in __import__("pathlib").Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("pipeline-*")]
+    assert len([n for n in left if n.startswith("pipeline-packing")]) >= 1 and not [n for n in left if not n.startswith("pipeline-packing")]
