@@ -57,6 +57,11 @@ def entities_per_row(cells: DataFrame, mention: DataFrame) -> DataFrame:
     return rows.join(linked, ["table_id", "row_idx"], "left").select("table_id", "row_idx", F.coalesce("k", F.lit(0)).alias("entities"))
 
 
+def approximate_entities(mention: DataFrame, error: float = 0.01) -> DataFrame:
+    """One row: about how many entities the lake has, from a sketch of bounded size."""
+    return mention.agg(F.approx_count_distinct("uri", error).alias("entities"))
+
+
 def write_profiles(profiles: DataFrame, path: str) -> None:
     """One JSON object per table."""
     profiles.write.mode("overwrite").json(path)

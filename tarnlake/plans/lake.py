@@ -23,9 +23,9 @@ def uri(col: Column | str) -> Column:
 def rows(spark: SparkSession, sf: str) -> DataFrame:
     """(table_id, row_idx, cells): data rows from 1 in table order, headers at 0."""
     t = lambda n: table(spark, sf, n)
-    nation = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 nations, 5 regions
+    nation = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     number = lambda *by: F.row_number().over(Window.partitionBy("table_id").orderBy(*by))
-    customer = t("customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("table_id", F.format_string("customer_%d.csv", "n_nationkey"))
+    customer = t("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("table_id", F.format_string("customer_%d.csv", "n_nationkey"))
     customer = customer.select("table_id", number("c_custkey").alias("row_idx"), F.array("c_name", "n_name", "r_name", "c_mktsegment").alias("cells"))
     part = t("part").withColumn("table_id", F.concat(F.lit("part_"), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit(".csv")))
     part = part.select("table_id", number("p_partkey").alias("row_idx"), F.array("p_name", "p_brand", "p_type", F.col("p_size").cast("string")).alias("cells"))
@@ -33,7 +33,7 @@ def rows(spark: SparkSession, sf: str) -> DataFrame:
         t("lineitem").select("l_suppkey", "l_partkey").distinct()
         .join(t("part").select("p_partkey", "p_name", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
         .join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(F.broadcast(nation.select("n_nationkey", "n_name")), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(nation.select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
         .select(F.format_string("supply_%d.csv", "s_suppkey").alias("table_id"), "s_name", "p_name", "p_brand", "n_name").distinct()
     )
     supply = supply.select("table_id", number("p_name", "p_brand").alias("row_idx"), F.array("s_name", "p_name", "p_brand", "n_name").alias("cells"))
@@ -53,9 +53,9 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
 def triples(spark: SparkSession, sf: str) -> DataFrame:
     """kg_triple (s, p, o, o_kind)."""
     t = lambda n: table(spark, sf, n)
-    nation = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    customer = t("customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
-    supplier = t("supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    nation = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    customer = t("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    supplier = t("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     part = t("part").select("p_partkey", "p_name", "p_brand", "p_type")
     supplies = t("lineitem").select("l_suppkey", "l_partkey").distinct().join(part, F.col("l_partkey") == F.col("p_partkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     typed = [

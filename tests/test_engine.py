@@ -361,6 +361,35 @@ def test_engine_from_files(spark, tmp_path):
     assert lake.embeddings.dimension() == 0
 
 
+def test_command_line(spark, tmp_path):
+    import json
+
+    from tarnlake.__main__ import main
+
+    (tmp_path / "csv").mkdir()
+    (tmp_path / "csv" / "t.csv").write_text("h\nAnn\nBob\n")
+    (tmp_path / "kg.nt").write_text("".join(f"<x://{n}> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <t> .\n" for n in ("Ann", "Bob")))
+    (tmp_path / "v.txt").write_text("x://Ann,1,2\n")
+    run = lambda *a: json.loads(main(["--root", f"file://{tmp_path}/lake", *a], spark))
+    assert run("embeddings", str(tmp_path / "v.txt"), "--delimiter", ",") == {} and run("graph", str(tmp_path / "kg.nt")) == {}
+    assert run("insert", str(tmp_path / "csv")) == {"refused": []}
+    assert run("search", "x://Ann", "-k", "1")["scores"][0]["table ID"] == "t.csv"
+    assert run("count", "x://Bob") == {"tables": 1} and run("keyword", "bob")[0]["id"] == "x://Bob"
+    assert run("stats")[0]["linked_cells"] == 2 and run("table-stats", "t.csv")[0]["entities"] == 2
+    assert run("remove-table", "t.csv") == {"removed": True} and run("clear-embeddings") == {} and run("clear") == {}
+
+
+def test_profiles_and_sketches(spark, tmp_path):
+    cells = readers.matrix_cells(spark, "a", [["h"], ["x"], ["y"], ["x"]])
+    mention = linking.mentions(cells, spark.createDataFrame([("x", "u:x")], "text string, uri string"))
+    stats.write_profiles(stats.table_profile(cells, mention), str(tmp_path / "p"))
+    got = spark.read.json(str(tmp_path / "p")).first()
+    assert (got.n_rows, got.entities, got.mapped_cells, got.per_column) == (4, 1, 2, "0:2")
+    assert {r.row_idx: r.entities for r in stats.entities_per_row(cells, mention).collect()} == {0: 0, 1: 1, 2: 0, 3: 1}
+    many = spark.range(20_000).select(F.concat(F.lit("u"), F.col("id") % 5000).alias("uri"))
+    assert abs(stats.approximate_entities(many).first().entities - 5000) < 250
+
+
 def test_engine_progressive(spark, tmp_path):
     lake = Engine(spark, f"file://{tmp_path}/lake")
     kg = [("u:a", "rdf:type", "T", "iri"), ("u:b", "rdf:type", "T", "iri"), ("u:a", "rdfs:label", "a", "literal"), ("u:b", "rdfs:label", "b", "literal")]
