@@ -37,7 +37,7 @@ LABELLED = 8000
 FEATURES = 1024
 LEAST_DOCS = 2  # toxic training documents that a feature must be in
 LEAST_G = 10.0  # likelihood ratio (G squared) by which a feature must tell toxic texts from others
-DECAY = 5e-5  # of the weights, in the fit
+DECAY = 3e-5  # of the weights, in the fit
 NEAR, HASHES, BAND = 0.8, 32, 4  # near copies among the training texts: Jaccard similarity of features, by MinHash bands
 CUT = 0.5  # toxic from this probability of a grade above 0
 BEGINNINGS = (4, 5)
