@@ -370,6 +370,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component (five words, 0.8) the smallest id stays."""
+    """Pipeline stage: of each component (five words, 0.8) the smallest id stays, with
+    all rows that have it.  Rows with a null id stay, as do texts without words."""
     out = jaccard_join(docs, 5, 80).where("id = component or id is null").select(F.col("id").alias("doc_id")).distinct()
     return docs.join(out, docs["doc_id"].eqNullSafe(out["doc_id"]), "left_semi")

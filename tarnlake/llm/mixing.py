@@ -287,7 +287,8 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents as often as the mix takes them, whole texts."""
+    """Pipeline stage: documents as often as the mix takes them, whole rows.  Cases
+    are those of the module: texts without words come as often as their block."""
     plan = plan_mix(materialize(sizes(docs), "mix-sizes"))
     inner = F.struct(*[F.col(c) for c in docs.columns]).alias("doc")
     rows = docs.select(inner, F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), word_count(text_or_empty()).alias("size"))

@@ -295,6 +295,7 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents as packed pieces.  Its workers have run the
-    stages before and keep some of their memory, so the word cache is small."""
+    """Pipeline stage: the documents as packed pieces; a document that comes several
+    times is packed as often.  Its workers have run the stages before and keep some
+    of their memory, so the word cache is small."""
     return pack(docs, cache_words=STAGE_CACHE_WORDS, give_back=True)

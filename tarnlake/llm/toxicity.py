@@ -191,7 +191,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that are toxic go, row by row."""
+    """Pipeline stage: documents that are toxic go, row by row.  Null and empty texts
+    stay; ids, repeats and other columns play no part.  An empty table stays empty."""
     weights = fit(small_batches(docs), read_table(spark, sf_dir, "labels"))
     known, theta = frozenset(weights["weights"]), weights["theta"]
 
