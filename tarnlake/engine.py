@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import graph, keyword, linking, prefilter, search, stats
+from .operators import graph, keyword, linking, prefilter, search, stats, tables
 from .operators.search import Options, Query, QueryEntity
 from .session import fresh_path, path_exists, remove_path, stored
 from .sources import readers
@@ -285,15 +285,13 @@ class Engine:
 
     def ingest_cells(self, cells: DataFrame, table_prefix: str = "", kg_prefix: str = "", progressive: bool = False, link: DataFrame | None = None) -> list[str]:
         """Stores tables and indexes the lake, or sets up a progressive index over
-        it: step() that, then finish().  link: (text, uri), else texts are linked to
-        labels and names of the graph."""
+        it: step() that, then finish().  link: (text, uri), whose texts and uris must
+        begin with the prefixes; else texts with the table prefix are linked, without
+        it, to labels and names of the graph's entities with the other one."""
         if not self.embeddings.dimension():
             raise ValueError("load embeddings before tables")
-        if table_prefix or kg_prefix:
-            link = self._prefixed(self._links(cells) if link is None else link, table_prefix, kg_prefix)
         refused = self.store.insert(cells)
-        if link is None:
-            link = self._links(self.store.cells())
+        link = self._links(self.store.cells(), table_prefix, kg_prefix) if link is None else self._checked(link, table_prefix, kg_prefix)
         if progressive:
             self.progressive = ProgressiveIndex(self.spark, stored(link, f"{self.root}/progressive-link"), f"{self.root}/progressive", listener=self._listener)
             self.progressive.add_tables(self.store.cells())
@@ -301,20 +299,22 @@ class Engine:
             self.index(link)
         return refused
 
-    def _links(self, cells: DataFrame) -> DataFrame:
+    def _links(self, cells: DataFrame, table_prefix: str = "", kg_prefix: str = "") -> DataFrame:
         """(text, uri): a label of the graph in full, else the best hit by its words."""
-        labels = graph.labels(self.triples)
+        triples = self.triples.where(F.col("s").startswith(kg_prefix))
+        labels = graph.labels(triples)
         exact = labels.groupBy(F.col("label").alias("text")).agg(F.min("uri").alias("uri"))
-        texts = cells.select("text").distinct()
+        texts = cells.where(F.col("text").startswith(table_prefix)).select(tables.strip_prefix(F.col("text"), table_prefix).alias("text")).distinct()
         known = texts.join(exact, "text")
         rest = texts.join(exact, "text", "left_anti")
-        hits = keyword.link_mentions(rest, graph.documents(self.triples)).where("uri <> 'None'")
-        return known.select("text", "uri").unionByName(hits.select("text", "uri"))
-
-    def _prefixed(self, link: DataFrame, table_prefix: str, kg_prefix: str) -> DataFrame:
-        from .operators.tables import add_prefix, strip_prefix
-
-        return link.select(add_prefix(F.col("text"), table_prefix).alias("text"), strip_prefix(F.col("uri"), kg_prefix).alias("uri"))
+        hits = keyword.link_mentions(rest, graph.documents(triples)).where("uri <> 'None'")
+        found = known.select("text", "uri").unionByName(hits.select("text", "uri"))
+        return found.select(tables.add_prefix(F.col("text"), table_prefix).alias("text"), "uri")
+
+    def _checked(self, link: DataFrame, table_prefix: str, kg_prefix: str) -> DataFrame:
+        """link; a text or a uri without its prefix is an error."""
+        whole = lambda c, prefix: tables.add_prefix(tables.strip_prefix(F.col(c), prefix), prefix).alias(c)
+        return link.select(whole("text", table_prefix), whole("uri", kg_prefix))
 
     def index(self, link: DataFrame | None = None, mention: DataFrame | None = None) -> Snapshot:
         """Derives a new snapshot of the lake as it is; older ones go."""

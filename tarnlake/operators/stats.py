@@ -37,12 +37,13 @@ def _listed(counts: DataFrame, place: str, name: str) -> DataFrame:
 
 def table_profile(cells: DataFrame, mention: DataFrame) -> DataFrame:
     """Per table: shape, distinct entities, linked cells and rows, and linked cells per column."""
+    # A table has few columns, so a set of them is small; rows and entities are counted each by themselves.
     shape = cells.groupBy("table_id").agg(
-        F.count_distinct("row_idx").alias("n_rows"), F.count_distinct("col_idx").alias("n_cols"), F.count(F.lit(1)).alias("n_cells")
-    )
-    m = mention.groupBy("table_id").agg(
-        F.count_distinct("uri").alias("entities"), F.count(F.lit(1)).alias("mapped_cells"), F.count_distinct("row_idx").alias("mapped_rows")
+        F.count_distinct("row_idx").alias("n_rows"), F.size(F.collect_set("col_idx")).cast("long").alias("n_cols"), F.count(F.lit(1)).alias("n_cells")
     )
+    rows = mention.groupBy("table_id", "row_idx").agg(F.count(F.lit(1)).alias("k"))
+    rows = rows.groupBy("table_id").agg(F.sum("k").alias("mapped_cells"), F.count(F.lit(1)).alias("mapped_rows"))
+    m = rows.join(mention.groupBy("table_id").agg(F.count_distinct("uri").alias("entities")), "table_id")
     per = _listed(mention.groupBy("table_id", "col_idx").agg(F.count(F.lit(1)).alias("k")), "col_idx", "per_column")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return shape.join(m, "table_id", "left").join(per, "table_id", "left").select(

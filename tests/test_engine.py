@@ -361,6 +361,19 @@ def test_engine_from_files(spark, tmp_path):
     assert lake.embeddings.dimension() == 0
 
 
+def test_engine_prefixes(spark, tmp_path):
+    lake = Engine(spark, f"file://{tmp_path}/lake")
+    kg = [(f"kg:{n}", "rdfs:label", n, "literal") for n in "ab"] + [("other:a", "rdfs:label", "a", "literal"), ("kg:a", "rdf:type", "T", "iri")]
+    lake.add_triples(spark.createDataFrame(kg, "s string, p string, o string, o_kind string"))
+    lake.embeddings.insert(spark.createDataFrame([("kg:a", [1.0])], "uri string, embedding array<double>"))
+    cells = readers.matrix_cells(spark, "t", [["h"], ["wiki/a"], ["a"], ["wiki/b"]])
+    lake.ingest_cells(cells, "wiki/", "kg:")
+    assert sorted(map(tuple, lake.snapshot.link.collect())) == [("wiki/a", "kg:a"), ("wiki/b", "kg:b")]
+    wrong = spark.createDataFrame([("a", "kg:a")], "text string, uri string")
+    with pytest.raises(Exception, match="no prefix wiki/"):
+        lake.ingest_cells(readers.matrix_cells(spark, "u", [["a"]]), "wiki/", "kg:", link=wrong)
+
+
 def test_command_line(spark, tmp_path):
     import json
 
